@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, chat, langid, line_dedup, packing, rules, topk
 from .runtime import table
 
 
@@ -13,5 +14,36 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe,)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", F.col("_ld_dropped").alias("n_dropped"), "text")
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.read_back(chat.format_trees(chat.reply_chain(rows)))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), 2)
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = langid.predict(docs, langid.fit(docs.where(~fold)))
+    return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_exact_topk, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
+ORACLE_SQL = {"op4_exact_topk": topk.SQL, "op6_line_dedup": line_dedup.SQL, "op7_chat_formatting": chat.SQL, "op8_quality_rules": rules.SQL}
