@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, line_dedup, packing, rules, topk
+from . import bpe, chat, jaccard_join, langid, line_dedup, packing, rules, topk
 from .runtime import table
 
 
@@ -14,6 +14,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -45,5 +49,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op4_exact_topk, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard_join, op4_exact_topk, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
 ORACLE_SQL = {"op4_exact_topk": topk.SQL, "op6_line_dedup": line_dedup.SQL, "op7_chat_formatting": chat.SQL, "op8_quality_rules": rules.SQL}
