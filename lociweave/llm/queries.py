@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, langid, line_dedup, packing, rules, topk
+from . import bpe, chat, jaccard_join, langid, line_dedup, packing, rules, substring_dedup, topk
 from .runtime import table
 
 
@@ -22,6 +22,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.digest(substring_dedup.dedup(docs))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", F.col("_ld_dropped").alias("n_dropped"), "text")
 
@@ -49,5 +54,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard_join, op4_exact_topk, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
-ORACLE_SQL = {"op4_exact_topk": topk.SQL, "op6_line_dedup": line_dedup.SQL, "op7_chat_formatting": chat.SQL, "op8_quality_rules": rules.SQL}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard_join, op4_exact_topk, op5_substring_dedup, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
+ORACLE_SQL = {"op4_exact_topk": topk.SQL, "op5_substring_dedup": substring_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op7_chat_formatting": chat.SQL, "op8_quality_rules": rules.SQL}

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def ids_and_texts(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000):
         start, n = 0, batch.num_rows
         sizes = np.zeros(n + 1, dtype=np.int64)
         if n:
-            np.cumsum(pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False), out=sizes[1:])
+            np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), out=sizes[1:])
         while start < n:
             end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + limit, side="right")) - 1)
             yield ids[start:end], [x or "" for x in column.slice(start, end - start).to_pylist()]
