@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, jaccard_join, langid, line_dedup, packing, rules, substring_dedup, topk
+from . import bpe, chat, jaccard_join, langid, line_dedup, packing, rules, substring_dedup, topk, toxicity
 from .runtime import table
 
 
@@ -14,6 +14,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Trained on the labelled rows that aren't held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.fit(docs, labels.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    fold = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
@@ -54,5 +66,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_ngram_jaccard_join, op4_exact_topk, op5_substring_dedup, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_toxicity, op3_ngram_jaccard_join, op4_exact_topk, op5_substring_dedup, op6_line_dedup, op7_chat_formatting, op8_quality_rules, op9_language_id, op10_best_fit_packing)}
 ORACLE_SQL = {"op4_exact_topk": topk.SQL, "op5_substring_dedup": substring_dedup.SQL, "op6_line_dedup": line_dedup.SQL, "op7_chat_formatting": chat.SQL, "op8_quality_rules": rules.SQL}
