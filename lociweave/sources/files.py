@@ -30,7 +30,7 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
     gt = F.array_position(F.split(f[8], ":"), "GT").cast("int")
-    calls = F.transform(F.slice(f, 10, F.size(f)), lambda x: F.element_at(F.split(x, ":"), gt))
+    calls = F.transform(F.slice(f, 10, F.size(f)), lambda x: F.get(F.split(x, ":"), gt - 1))
     rows = lines.select(f[0].alias("contig"), f[1].cast("long").alias("position"), f[3].alias("ref"), f[4].alias("alts"), calls.alias("gts"))
     if rows.select("contig").distinct().limit(2).count() > 1:
         raise ValueError("more than one contig in the file")
