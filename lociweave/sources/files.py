@@ -29,9 +29,10 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
     """contig, position, ref, alts, gts array: the rows of a variant text file."""
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.length("value") > 0))
     f = F.split("value", "\t")
-    gt = F.array_position(F.split(f[8], ":"), "GT").cast("int")
+    gt = F.array_position(F.split(F.get(f, F.lit(8)), ":"), "GT").cast("int")
     calls = F.transform(F.slice(f, 10, F.size(f)), lambda x: F.get(F.split(x, ":"), gt - 1))
-    rows = lines.select(f[0].alias("contig"), f[1].cast("long").alias("position"), f[3].alias("ref"), f[4].alias("alts"), calls.alias("gts"))
+    at = lambda i: F.get(f, F.lit(i))  # noqa: E731  a filter may be moved above the one on comments
+    rows = lines.select(at(0).alias("contig"), at(1).try_cast("long").alias("position"), at(3).alias("ref"), at(4).alias("alts"), calls.alias("gts"))
     if rows.select("contig").distinct().limit(2).count() > 1:
         raise ValueError("more than one contig in the file")
     return rows
@@ -46,7 +47,7 @@ def individual_ids(spark: SparkSession, path: str) -> DataFrame:
 def metadata(spark: SparkSession, path: str) -> dict:
     """ploidy, individuals and phased, checked to be the same in every row."""
     g = F.col("gts")
-    shape = F.struct(F.size(F.split(g[0], r"[|/]")).alias("ploidy"), F.size(g).alias("individuals"), (~F.exists(g, lambda x: F.contains(x, F.lit("/")))).alias("phased"))
+    shape = F.struct(F.size(F.split(F.get(g, F.lit(0)), r"[|/]")).alias("ploidy"), F.size(g).alias("individuals"), (~F.exists(g, lambda x: F.contains(x, F.lit("/")))).alias("phased"))
     found = sites(spark, path).select(shape.alias("s")).distinct().limit(2).collect()
     if len(found) > 1:
         raise ValueError("ploidy, individuals or phasing differ between rows")
