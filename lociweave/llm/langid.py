@@ -85,7 +85,7 @@ class Pairs:
         self.pairs = list(combinations(range(len(self.names)), 2))
         own = np.array([self.names.index(v) for v in y])
         rows = [train_pair(x[m], np.where(own[m] == i, 1.0, -1.0)) for i, j in self.pairs for m in [np.isin(own, (i, j))]]
-        self.w = np.array(rows, dtype=np.float32).reshape(len(rows), -1)
+        self.w = np.array(rows, dtype=np.float32).reshape(len(rows), x.shape[1])
 
     def best(self, x: np.ndarray) -> tuple[str, float]:
         """The winner and how surely it won its closest decision."""
