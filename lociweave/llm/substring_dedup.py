@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .runtime import discard, materialize
 from .shingles import NEVER, mix, room, sequences, sliding, word_hashes
@@ -195,7 +196,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
                 kept.append(b" ".join(own).decode())
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*b.schema.names[:n], "_sd_words", "_sd_removed", "_sd_kept"])
 
-    schema = docs.schema.add("_sd_words", "long").add("_sd_removed", "long").add("_sd_kept", "string")
+    schema = StructType(list(docs.schema.fields)).add("_sd_words", "long").add("_sd_removed", "long").add("_sd_kept", "string")
     return inner.mapInArrow(run, schema)
 
 
