@@ -16,6 +16,7 @@ messages; an empty table gives none; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import discard, materialize
+from .runtime import materialize
 
 ASSISTANT = "assistant"
 _UNSAFE, _SAFE = re.compile(r"[\\<]"), re.compile(r"\\(.)", re.DOTALL)
@@ -78,26 +79,24 @@ def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """
     m = messages.select("key", "node", "parent", "score")
     parents = m.select("key", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    state = m.join(parents, ["key", "parent"], "left").select("key", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.lit(0).alias("level"))
-    levels = []  # level k: link over 2^k replies
+    state = m.join(parents, ["key", "parent"], "left").select("key", "node", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     links = materialize(state, "links")
-    most = 1
-    n = links.count()
-    while True:
-        levels.append(links)
-        if most > n or links.where("up is not null").limit(1).count() == 0:
-            break
-        above = links.select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        links = materialize(links.join(above, ["key", "up"], "left").select("key", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total"), "level"), "links")
+    done, open_, levels = [links.where("up is null")], links.where("up is not null"), []
+    most, n = 1, links.count()
+    while most <= n and open_.limit(1).count():
+        levels.append(open_.select("key", "node", "up"))  # level k: links over 2^k replies
+        above = functools.reduce(DataFrame.union, [*done, open_]).select("key", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
+        links = materialize(open_.join(above, ["key", "up"]).select("key", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total")), "links")
+        done.append(links.where("up is null"))
+        open_ = links.where("up is not null")  # messages whose link has not met its root
         most *= 2
-    ends = links.where("up is null")  # on a cycle the link never ends
+    ends = functools.reduce(DataFrame.union, done)  # on a cycle the link never ends
     inner = m.where("parent is not null").select("key", F.col("parent").alias("node")).distinct()
     order = Window.partitionBy("key").orderBy(F.desc("total"), F.desc("depth"), "node")
     leaves = ends.join(inner, ["key", "node"], "left_anti").withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= branches)
     paths = leaves.select("key", F.col("node").alias("leaf"), "branch", F.col("total").alias("path_total"), "node")
-    for level in reversed(levels[:-1] or levels):
-        link = level.where("up is not null").select("key", "node", "up")
-        paths = materialize(paths.union(paths.join(link, ["key", "node"]).select("key", "leaf", "branch", "path_total", F.col("up").alias("node"))), "paths")
+    for level in reversed(levels):
+        paths = materialize(paths.union(paths.join(level, ["key", "node"]).select("key", "leaf", "branch", "path_total", F.col("up").alias("node"))), "paths")
     return paths.join(ends.select("key", "node", "depth"), ["key", "node"])
 
 
