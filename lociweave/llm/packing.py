@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         own = word_ids(path)
         for ids, texts in ids_and_texts(batches):
             rows: list[tuple] = []
-            for i, text in zip(ids.tolist(), texts, strict=True):
+            for i, text in zip(ids, texts, strict=True):
                 data = own.encode(text) + end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]

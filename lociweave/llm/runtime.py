@@ -63,9 +63,9 @@ def partitions(df: DataFrame) -> int:
 
 
 def ids_and_texts(batches: Iterator[pa.RecordBatch], limit: int = 4_000_000):
-    """(ids, texts) of (id, text) batches, in blocks of bounded characters; a null text is ''."""
+    """(ids, texts) of (id, text) batches, in blocks of bounded characters; a null text is '', a null id None."""
     for batch in batches:
-        ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+        ids, column = batch.column(0).to_pylist(), batch.column(1)
         start, n = 0, batch.num_rows
         sizes = np.zeros(n + 1, dtype=np.int64)
         if n:

@@ -47,6 +47,8 @@ def test_query(spark, own):
         ids = own.core.encode_ordinary(t)
         want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
     assert got == want
+    nobody = spark.createDataFrame([(None, "a b")], "doc_id long, text string")
+    assert [(r.doc_id, r.n_tokens) for r in round_trip(nobody, PATH, P.PATTERN).collect()] == [(None, 2)]
     assert round_trip(docs.limit(0), PATH, P.PATTERN).count() == 0
     back = {r.doc_id: bytes(r.bytes) for r in decode(encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()}
     assert back[1] == b"Hello there" and back[2] == b""

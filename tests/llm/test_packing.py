@@ -69,5 +69,7 @@ def test_query(spark):
         assert at <= 2048
     assert len(by_seq) <= -(-sum(r.length for r in rows) // 2048) + 1
     assert pack_documents(docs.limit(0), PATH).count() == 0
+    nobody = spark.createDataFrame([(None, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(r.length for r in pack_documents(nobody, PATH).collect()) == [1, 3]
     twice = pack_documents(docs.union(docs).where("doc_id < 4"), PATH).collect()
     assert len(twice) == 8 and len({(r.sequence_id, r.offset) for r in twice}) == 8

@@ -147,6 +147,7 @@ def test_language(spark):
     got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
     assert all(got[i].lang_pred == v for i, _, v in rows) and {got[i].lang_pred for i in (90, 91, 92)} == {"und"}
     assert all(0 <= r.score <= 1 for r in got.values())
+    assert [r.doc_id for r in langid.predict(spark.createDataFrame([(None, "x")], "doc_id long, text string"), model).collect()] == [None]
     assert langid.Model([]).predict("hello") == ("und", 0.0)
     assert langid.Model([("hello", "en")]).predict("hello")[0] == "en"
     assert langid.predict(docs.limit(0), model).count() == 0
