@@ -84,13 +84,30 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return words, bounds, g[inside], own[: len(g)][inside] - 1
 
 
-def telling(keys: list[np.ndarray], labels: np.ndarray, least: float = 24.0) -> tuple[np.ndarray, np.ndarray]:
+def in_blocks(texts: list[bytes], size: int = 64) -> Iterator[list[bytes]]:
+    """Training texts a few at a time: what is made of every byte is large."""
+    for k in range(0, len(texts), size):
+        yield texts[k : k + size]
+
+
+def keys_by_text(texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of each text, its distinct word and sequence keys."""
+    by_word: list[np.ndarray] = []
+    by_gram: list[np.ndarray] = []
+    for part in in_blocks(texts):
+        words, bounds, grams, owner = features(part)
+        cuts = np.searchsorted(owner, bounds)
+        by_word += [np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        by_gram += [np.unique(grams[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return by_word, by_gram
+
+
+def telling(own: list[np.ndarray], labels: np.ndarray, least: float = 24.0) -> tuple[np.ndarray, np.ndarray]:
     """(keys, log odds) of what tells the labels apart, by the texts that have it.
 
     ``least`` is the log-likelihood ratio (G squared) from which on a key counts; it is far above
     what the best of a million keys without meaning reaches.
     """
-    own = [np.unique(k) for k in keys]
     flat = np.concatenate(own)
     label = np.repeat(labels, [len(k) for k in own])
     found, inverse = np.unique(flat, return_inverse=True)
@@ -190,6 +207,16 @@ class Model:
         hit = g >= 0
         return bounds, at, g[hit], owner[hit]
 
+    def all_inputs(self, texts: list[bytes]):
+        """The same for many texts, a few at a time."""
+        parts, shift = [], 0
+        for part in in_blocks(texts):
+            bounds, at, g, owner = self.inputs(part)
+            parts.append((bounds[:-1] + shift, at, g, owner + shift))
+            shift += int(bounds[-1])
+        bounds, at, g, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return np.append(bounds, shift), at, g, owner
+
     def vectors(self, n: int, at: np.ndarray, g: np.ndarray, owner: np.ndarray) -> np.ndarray:
         """Inputs of n words and of one more that stands for no word."""
         x = np.zeros((n + 1, INPUT), dtype=np.float32)
@@ -243,17 +270,16 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
     if not len(y) or y.min() == y.max():
         return model
     rng = np.random.default_rng(seed)
-    words, bounds, grams, owner = features(texts)
-    text_of = np.searchsorted(bounds, owner, side="right") - 1
-    cuts = np.searchsorted(text_of, np.arange(len(texts) + 1))
-    keys, model.word_odds = telling([words[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], y)
+    by_word, by_gram = keys_by_text(texts)
+    keys, model.word_odds = telling(by_word, y)
     model.words = Entries(keys)
-    keys, model.gram_odds = telling([grams[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], y)
+    keys, model.gram_odds = telling(by_gram, y)
     model.grams = Entries(keys)
+    del by_word, by_gram
     model.word_vectors = (rng.standard_normal((len(model.word_odds), E_WORD)) * 0.1).astype(np.float32)
     model.gram_vectors = (rng.standard_normal((len(model.gram_odds), E_CHAR)) * 0.1).astype(np.float32)
     net = model.net = Network(seed)
-    bounds, at, g, owner = model.inputs(texts)
+    bounds, at, g, owner = model.all_inputs(texts)
     places, text = model.windows(bounds)
     alive = np.zeros(int(bounds[-1]) + 1, dtype=bool)
     alive[:-1] = at >= 0
@@ -272,11 +298,11 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
         value -= 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
 
     for turn in range(rounds):
-        x = model.vectors(int(bounds[-1]), at, g, owner)
-        if turn == 0:
-            value = x[places, 0].sum(axis=1) + x[places, 1].sum(axis=1)
-        else:
-            value = np.concatenate([net.forward(x[places[k : k + 4096]]) for k in range(0, len(places), 4096)] or [np.zeros(0)])
+        value = [np.zeros(0)]
+        for k in range(0, len(places), 4096):
+            x = model.vectors_of(places[k : k + 4096], at, g, owner)
+            value.append(net.forward(x) if turn else x[:, :, :2].sum(axis=(1, 2)))
+        value = np.concatenate(value)
         order = np.lexsort((-value, text))
         place = np.arange(len(order)) - np.searchsorted(text[order], text[order])
         picked = order[np.where(y[text[order]] > 0, place < 1, place < 2)]
@@ -312,7 +338,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
                 np.add.at(gc, g[which], dx[rep, 2 + E_WORD :])
                 adam("C", model.gram_vectors, gc)
     model.plain = np.float32(net.forward(np.zeros((1, SPAN, INPUT), dtype=np.float32))[0])
-    model.calibrate(model.logits(texts), y)
+    model.calibrate(np.concatenate([model.logits(part) for part in in_blocks(texts)]), y)
     return model
 
 
