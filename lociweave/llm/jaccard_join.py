@@ -12,11 +12,12 @@ The order puts shingles last whose cell in a table of counts (over all documents
 far above the mean: boilerplate and large groups of copies don't make regions of unrelated documents.
 Any order gives the same result; this one keeps regions small.
 
-Regions of up to ``SMALL`` documents are joined pair by pair. Larger ones are joined recursively
-around a pivot document: distances to it are computed, documents within the radius are linked to it,
-and each other document is compared only with those whose distance to the pivot differs by at most the
-radius (triangle inequality); the documents left over are the next region. Candidates are verified on
-their whole sets. Documents already in one component are not compared again.
+Regions of up to ``SMALL`` documents are joined pair by pair. Larger ones are joined around a pivot
+document, the one with most large regions; regions with one pivot form its cell, so members meet once.
+Documents within the radius of the pivot are linked to it. Each other one is joined, in blocks of
+``BLOCK`` sets, with those whose distance to the pivot differs by at most the radius (triangle
+inequality); a pair of blocks counts all its overlaps at once and returns only links. Candidates are
+verified on their whole sets. Pairs already linked through one document are not compared again.
 
 Defined results: sets of texts without words are empty and linked with nothing; a null text has none;
 rows with one doc_id count as one document (linked); rows with a null doc_id have a null component;
@@ -43,8 +44,8 @@ NUM, DEN = 75, 100
 CELLS, SLICES = 1 << 22, 64
 #: Documents of a region that is joined pair by pair.
 SMALL = 32
-#: Rounds of pivots in a large region before what is left is joined by windows alone.
-ROUNDS = 8
+#: Documents of a block in a large region, and the steps of distance that blocks are cut by.
+BLOCK, STEPS = 512, 20
 #: Bits of a region's number.
 BITS = 44
 BLOCK_CHARS = 1_000_000
@@ -264,20 +265,78 @@ _DISTANCE = "1 - shared / (na + nb - shared)"
 _RADIUS = 1 - NUM / DEN
 
 
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    side = lambda name: of.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    joined = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return joined.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of x shares with each of y: products of 0/1 matrices over shared hashes."""
+    flat = [np.concatenate(v) if v else np.empty(0, dtype=np.uint64) for v in (x, y)]
+    row = [np.repeat(np.arange(len(v)), [len(s) for s in v]) for v in (x, y)]
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(x), len(y)), dtype=np.float32)
+    if not len(both):
+        return out
+    at, keep = [], []
+    for f in flat:
+        k = np.minimum(np.searchsorted(both, f), len(both) - 1)
+        keep.append(both[k] == f)
+        at.append(k)
+    for start in range(0, len(both), 4096):
+        m = []
+        for k, ok, r, v in zip(at, keep, row, (x, y), strict=True):
+            sel = ok & (k >= start) & (k < start + 4096)
+            one = np.zeros((len(v), min(4096, len(both) - start)), dtype=np.float32)
+            one[r[sel], k[sel] - start] = 1
+            m.append(one)
+        out += m[0] @ m[1].T
+    return out
+
 
+def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links of the documents that are beyond the radius of their cell's pivot.
 
-def _sizes_fit(x: str, y: str):
-    return (F.col(x) * DEN >= F.col(y) * NUM) & (F.col(y) * DEN >= F.col(x) * NUM)
+    cells: pivot, rep, d. Blocks are cut by step of distance and by hash, so none gathers a cell.
+    """
+    step = F.least(F.lit(STEPS - 1), F.floor(F.col("d") * STEPS)).cast("int")
+    own = materialize(cells.select("pivot", "rep", (F.col("d") > _RADIUS).alias("far"), step.alias("q")), "cells")
+    sizes = own.groupBy("pivot", "far", "q").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
+    sizes = materialize(sizes, "sizes")
+    block = materialize(own.join(sizes, ["pivot", "far", "q"]).select("pivot", "rep", F.concat_ws(".", F.col("far").cast("string"), "q", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("blk")), "blocks")
+    names = sizes.select("pivot", "far", "q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("h")).select("pivot", "far", "q", F.concat_ws(".", F.col("far").cast("string"), "q", "h").alias("blk"))
+    one = names.where("far").select("pivot", F.col("q").alias("q1"), F.col("blk").alias("one"))
+    two = names.select("pivot", F.col("far").alias("far2"), F.col("q").alias("q2"), F.col("blk").alias("two"))
+    reach = F.abs(F.col("q1") - F.col("q2")) - 1 <= _RADIUS * STEPS + 1e-9
+    meets = materialize(one.join(two, "pivot").where(reach & (~F.col("far2") | (F.col("one") <= F.col("two")))).select("pivot", "one", "two"), "meets")
+    stored = sets.withColumnRenamed("node", "rep")
+    side = lambda name: block.withColumnRenamed("blk", name).join(meets, ["pivot", name]).join(stored, "rep").select("pivot", "one", "two", "rep", "s")
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t.column(4)] for t in (a, b))
+        ia, ib = a.column(3).to_numpy(), b.column(3).to_numpy()
+        n = overlaps(x, y).astype(np.int64)
+        total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+        linked = (DEN * n >= NUM * (total - n)) & (n > 0) & (ia[:, None] != ib[None, :])
+        up = {int(i): int(i) for i in (*ia, *ib)}  # of the links found, a forest is enough
+
+        def root(i: int) -> int:
+            while up[i] != i:
+                up[i] = up[up[i]]
+                i = up[i]
+            return i
+
+        out = []
+        for i, j in np.argwhere(linked):
+            p, q = root(int(ia[i])), root(int(ib[j]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                out.append((int(ia[i]), int(ib[j])))
+        return pa.table({"a": pa.array([i for i, _ in out], pa.int64()), "b": pa.array([j for _, j in out], pa.int64())})
+
+    keys = ["pivot", "one", "two"]
+    right = side("two").toDF("pivot_", "one_", "two_", "rep_", "s_")
+    return side("one").groupBy(*keys).cogroup(right.groupBy("pivot_", "one_", "two_")).applyInArrow(run, "a long, b long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    spark, parts = docs.sparkSession, partitions(docs)
+    parts = partitions(docs)
     own = doc_texts(docs, id_col, text_col)
     described = materialize(describe(own, words), "sets")
     hot = frequent(described)
@@ -294,8 +353,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     members = materialize(members, "members")
 
     def shared(of: DataFrame) -> DataFrame:
-        """Members of regions with two at least, with the region's size and smallest."""
-        sizes = materialize(of.groupBy("lm").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "sizes")
+        """Members of regions with two at least, with the region's size."""
+        sizes = materialize(of.groupBy("lm").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
         return of.join(sizes, "lm")
 
     first = shared(members)
@@ -309,41 +368,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     lists = kept.where(F.col("size") <= SMALL).groupBy("lm").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
     pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (y["rep"] > x["rep"]) & (x["n"] * DEN >= y["n"] * NUM) & (y["n"] * DEN >= x["n"] * NUM)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), F.least(x["n"], y["n"]).alias("n")))))).alias("p"))
     pairs = materialize(pairs.select("p.a", "p.b", "p.n").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= 1 + F.floor(F.col("n") / 20)).select("a", "b"), "pairs")
-    large = materialize(kept.where(F.col("size") > SMALL).select("lm", "rep", "n", "pivot"), "large")
+    large = materialize(kept.where(F.col("size") > SMALL).select("lm", "rep"), "large")
     discard(kept)
 
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select(F.col("rep").alias("node")))
     sets = materialize(stored_sets(own, nodes, words), "stored")
-    star = lambda of: of.where(F.col("rep") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-
-    # each document with its smallest candidate and with the pivots, then the pairs still apart
-    links = materialize(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets).where(_LINKED).select("a", "b").union(same), "verified")
-    of = components(links)
-    links = links.union(materialize(verify(_apart(pairs, of), sets).where(_LINKED).select("a", "b"), "verified"))
-    for turn in range(ROUNDS):
-        if large.limit(1).count() == 0:
-            break
-        to_pivot = materialize(verify(star(large), sets), "pivots")
-        links = links.union(to_pivot.where(_LINKED).select("a", "b"))
-        of = materialize(components(links), "of")
-        far = to_pivot.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.expr(_DISTANCE).alias("d"))
-        label = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))  # noqa: E731,B023
-        placed = large.join(far, ["pivot", "rep"], "left").join(label("rep"), "rep", "left").join(label("pivot"), "pivot", "left")
-        placed = materialize(placed.select("lm", "rep", "n", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("of_rep", "rep").alias("of"), (F.coalesce("of_rep", "rep") == F.coalesce("of_pivot", "pivot")).alias("covered")), "placed")
-        rest = placed.where(~F.col("covered"))
-        y = rest.select("lm", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
-        x = placed.where("covered").select("lm", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        near = (F.abs(F.col("dx") - F.col("dy")) <= _RADIUS + 1e-9) & _sizes_fit("nx", "ny")
-        found = y.join(x, "lm").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = materialize(rest.groupBy("lm").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1"), "sizes")
-        again = rest.join(more, "lm").select("lm", "rep", "n", "d", "pivot", "size")
-        last = turn == ROUNDS - 1
-        ending = again if last else again.where(F.col("size") <= SMALL)
-        p = ending.select("lm", F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("d").alias("dy"))
-        q = ending.select("lm", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("d").alias("dx"))
-        found = found.union(p.join(q, "lm").where((F.col("x") < F.col("y")) & near).select(F.col("x").alias("a"), F.col("y").alias("b"))).distinct()
-        links = links.union(materialize(verify(_apart(materialize(found, "windows"), of), sets).where(_LINKED).select("a", "b"), "verified"))
-        large = spark.createDataFrame([], large.schema) if last else materialize(again.where(F.col("size") > SMALL).select("lm", "rep", "n", "pivot"), "large")
+
+    # each document with its smallest candidate, then the pairs that don't share that one
+    first = materialize(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets).where(_LINKED).select("a", "b"), "verified")
+    head = lambda c: first.select(F.col("b").alias(c), F.col("a").alias(f"head_{c}"))
+    rest = pairs.join(head("a"), "a", "left").join(head("b"), "b", "left").where(F.coalesce("head_a", "a") != F.coalesce("head_b", "b")).select("a", "b")
+    second = materialize(verify(materialize(rest, "rest"), sets).where(_LINKED).select("a", "b"), "verified")
+    links = same.union(first).union(second)
+
+    # large regions: cells around pivots
+    if large.limit(1).count():
+        weight = large.groupBy("rep").agg(F.count("*").alias("w"))
+        best = large.join(weight, "rep").groupBy("lm").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"))).alias("best"))
+        pivots = materialize(best.select("lm", (-F.col("best.m")).alias("pivot")), "pivots")
+        members = materialize(large.select("lm", "rep").join(pivots, "lm").select("pivot", "rep").distinct(), "members")
+        others = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
+        seen = materialize(verify(others, sets), "distances")
+        links = links.union(seen.where(_LINKED).select("a", "b")).union(materialize(cell_links(seen.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.expr(_DISTANCE).alias("d")), sets), "links"))
     of = materialize(components(links), "components")
     out = classes.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

@@ -53,10 +53,10 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("small,rounds", [(32, 8), (3, 8), (2, 1)])
-def test_equals_all_pairs(spark, small, rounds, monkeypatch):
+@pytest.mark.parametrize("small,block", [(32, 512), (3, 512), (2, 5)])
+def test_equals_all_pairs(spark, small, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
     rows = corpus(small) + [(900, None), (901, ""), (902, "  \n"), (None, "a b c"), (903, "A b C"), (904, "a B c"), (904, "a B c")]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rep int, lm string")
     got = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
