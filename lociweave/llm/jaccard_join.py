@@ -49,6 +49,8 @@ BLOCK, STEPS = 512, 20
 #: Bits of a region's number.
 BITS = 44
 BLOCK_CHARS = 1_000_000
+#: Ids of candidate documents up to this many are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 _FLUSH = 1_000_000
 
 
@@ -235,7 +237,9 @@ def stored_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
         for ids, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], ["node", "s"])
 
-    own = docs.join(nodes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    ids = materialize(nodes.select(F.col("node").alias("doc_id")).distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    own = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
     return own.mapInArrow(run, "node long, s binary").distinct()
 
 

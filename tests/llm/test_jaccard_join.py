@@ -57,6 +57,7 @@ def corpus(seed, n=160):
 def test_equals_all_pairs(spark, small, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", small)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 500_000 if small == 32 else 0)
     rows = corpus(small) + [(900, None), (901, ""), (902, "  \n"), (None, "a b c"), (903, "A b C"), (904, "a B c"), (904, "a B c")]
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rep int, lm string")
     got = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
