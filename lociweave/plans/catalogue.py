@@ -424,10 +424,30 @@ def f09_ensure_unique(spark, sf_dir):
     return prop.carriers(g).join(g.mutations, "mut_id").select("position", "ref", "alt", "sample_idx", "n_paths")
 
 
+def _span(m: DataFrame) -> tuple[int, int]:
+    """[first, last) of the positions in the table."""
+    first, last = m.agg(F.min("position"), F.max("position")).first()
+    return (first, last + 1) if first is not None else (0, 0)
+
+
+def _parted(spark, sf_dir) -> list[tuple[DataFrame, DataFrame]]:
+    """(carriers, mutations) of the two halves of the table's positions; a site is in one of them."""
+    x, m = star.carriers(spark, sf_dir), star.mutations(spark, sf_dir)
+    middle = sum(_span(m)) // 2
+    own = [m.where(F.col("position") < middle), m.where(F.col("position") >= middle)]
+    return [(x.join(h.select("mut_id"), "mut_id", "left_semi"), h) for h in own]
+
+
 def _two_graphs(spark, sf_dir):
-    """Built from the two halves of the first mutations."""
-    x, m, s = star.carriers(spark, sf_dir).where("mut_id < 120"), star.mutations(spark, sf_dir).where("mut_id < 120"), star.samples(spark, sf_dir)
-    return [edit.build(x.where(c), m.where(c), s) for c in ("mut_id < 60", "mut_id >= 60")]
+    """Built from the two halves of all mutations."""
+    s = star.samples(spark, sf_dir)
+    return [edit.build(x, m, s) for x, m in _parted(spark, sf_dir)]
+
+
+def _mapped(spark, sf_dir):
+    """A graph of the first half, and the second half mapped onto it."""
+    (x, m), (new_x, new_m) = _parted(spark, sf_dir)
+    return edit.map_mutations(edit.build(x, m, star.samples(spark, sf_dir)), new_m, new_x)
 
 
 MERGED = "SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations USING (mut_id) WHERE mut_id < 120"
@@ -449,8 +469,7 @@ def f12_merge_by_samples(spark, sf_dir):
 
 @query("SELECT mut_id, sample_idx FROM carriers WHERE mut_id < 200")
 def f13_reduce(spark, sf_dir):
-    x, m = star.carriers(spark, sf_dir).where("mut_id < 200"), star.mutations(spark, sf_dir).where("mut_id < 200")
-    g = edit.build(x, m, star.samples(spark, sf_dir))
+    g = edit.build(star.carriers(spark, sf_dir), star.mutations(spark, sf_dir), star.samples(spark, sf_dir))
     return prop.carriers(edit.reduce_edges(g, least=2, share=0.1)[0]).select("mut_id", "sample_idx")
 
 
@@ -492,26 +511,24 @@ def f23_windows_cm(spark, sf_dir):
 
 @query("SELECT i AS window_id, mut_id FROM range(36) t(i) JOIN mutations ON position >= 1000 + i * 250 AND position < 1500 + i * 250")
 def f24_mutations_in_window(spark, sf_dir):
-    return windows.assign(star.mutations(spark, sf_dir), windows.by_bp(spark, 1000, 10000, 500, 2))
+    m = star.mutations(spark, sf_dir)
+    return windows.assign(m, windows.by_bp(spark, *_span(m), 500, 2))
 
 
 @query("SELECT (position - 1000) // 2000 AS window_id, mut_id, sample_idx FROM carriers JOIN mutations USING (mut_id) WHERE position < 11000")
 def f25_split(spark, sf_dir):
-    return windows.split(star.carriers(spark, sf_dir), star.mutations(spark, sf_dir), windows.by_bp(spark, 1000, 11000, 2000))
+    m = star.mutations(spark, sf_dir)
+    return windows.split(star.carriers(spark, sf_dir), m, windows.by_bp(spark, *_span(m), 2000))
 
 
 @query("SELECT mut_id, sample_idx FROM carriers WHERE mut_id < 120")
 def f26_map_mutations(spark, sf_dir):
-    x, m, s = star.carriers(spark, sf_dir).where("mut_id < 120"), star.mutations(spark, sf_dir).where("mut_id < 120"), star.samples(spark, sf_dir)
-    g = edit.build(x.where("mut_id < 60"), m.where("mut_id < 60"), s)
-    return prop.carriers(edit.map_mutations(g, m.where("mut_id >= 60"), x.where("mut_id >= 60"))[0]).select("mut_id", "sample_idx")
+    return prop.carriers(_mapped(spark, sf_dir)[0]).select("mut_id", "sample_idx")
 
 
 @query("SELECT mut_id, sum(1)::BIGINT AS n_carriers FROM carriers WHERE mut_id >= 60 AND mut_id < 120 GROUP BY 1")
 def f27_mapping_stats(spark, sf_dir):
-    x, m, s = star.carriers(spark, sf_dir).where("mut_id < 120"), star.mutations(spark, sf_dir).where("mut_id < 120"), star.samples(spark, sf_dir)
-    g = edit.build(x.where("mut_id < 60"), m.where("mut_id < 60"), s)
-    return edit.map_mutations(g, m.where("mut_id >= 60"), x.where("mut_id >= 60"))[1].select("mut_id", "n_carriers")
+    return _mapped(spark, sf_dir)[1].select("mut_id", "n_carriers")
 
 
 @query("SELECT mut_id, sample_idx FROM carriers")
@@ -531,13 +548,12 @@ SITE = "x AS (SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations
 
 
 def _rows(spark, sf_dir) -> DataFrame:
-    m = star.mutations(spark, sf_dir).where("mut_id < 400")
-    return star.carriers(spark, sf_dir).join(m, "mut_id").select("position", "ref", "alt", "sample_idx")
+    return star.carriers(spark, sf_dir).join(star.mutations(spark, sf_dir), "mut_id").select("position", "ref", "alt", "sample_idx")
 
 
 @query("""SELECT mut_id // 2 AS position, 'R' AS ref, CASE mut_id % 2 WHEN 0 THEN 'A' ELSE 'C' END AS alt, sample_idx FROM carriers WHERE mut_id < 400""")
 def b01_explode(spark, sf_dir):
-    x = star.carriers(spark, sf_dir).where("mut_id < 400")
+    x = star.carriers(spark, sf_dir)
     return transforms.explode_alleles(x.select(F.expr("mut_id div 2").alias("position"), F.lit("R").alias("ref"), F.lit("A,C").alias("alts"), "sample_idx", (F.col("mut_id") % 2 + 1).alias("allele")))
 
 
@@ -597,7 +613,7 @@ def b12_populations(spark, sf_dir):
 @query("""+ a AS (SELECT mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 0 AND mut_id < 400), b AS (SELECT mut_id - 1 AS mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 1 AND mut_id < 400)
 SELECT a.mut_id, a.sample_idx FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.mut_id = a.mut_id AND b.sample_idx = a.sample_idx)""")
 def f35_nested_mutations(spark, sf_dir):
-    x = star.carriers(spark, sf_dir).where("mut_id < 400")
+    x = star.carriers(spark, sf_dir)
     return x.where("mut_id % 2 = 0").join(x.where("mut_id % 2 = 1").withColumn("mut_id", F.col("mut_id") - 1), ["mut_id", "sample_idx"], "left_anti")
 
 
@@ -613,7 +629,7 @@ def phenotype(spark, sf_dir) -> DataFrame:
 @query(f"""+ {PHENO}, f AS (SELECT m.mut_id, coalesce(dosage, 0) AS x, y FROM (SELECT DISTINCT mut_id FROM carriers WHERE mut_id < 300) m CROSS JOIN ph LEFT JOIN dosages d ON d.mut_id = m.mut_id AND d.individual_idx = ph.individual_idx)
 SELECT mut_id, sum(x)::BIGINT AS n_carried, round(regr_slope(y, x), 4) AS beta, round(regr_intercept(y, x), 4) AS b0, round(regr_r2(y, x), 4) AS r2 FROM f GROUP BY 1""")
 def i01_gwas(spark, sf_dir):
-    out = assoc.linear_regression(star.individual_counts(spark, sf_dir).where("mut_id < 300"), star.mutations(spark, sf_dir), phenotype(spark, sf_dir))
+    out = assoc.linear_regression(star.individual_counts(spark, sf_dir), star.mutations(spark, sf_dir), phenotype(spark, sf_dir))
     return out.select("mut_id", "n_carried", *[F.round(c, 4).alias(c) for c in ("beta", "b0", "r2")])
 
 
