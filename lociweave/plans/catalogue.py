@@ -410,8 +410,9 @@ def f08_unique(spark, sf_dir):
 def _graph_with_copies(spark, sf_dir):
     """The hierarchy, every tenth mutation's key repeated by another one."""
     g = star.hierarchy(spark, sf_dir)
-    copy = g.mutations.where("mut_id % 10 = 1").withColumn("mut_id", F.col("mut_id") + 1000)
-    at = g.mutation_node.where("mut_id % 10 = 2").withColumn("mut_id", F.col("mut_id") + 999)
+    top = g.mutations.agg(F.max("mut_id")).first()[0] or 0
+    copy = g.mutations.where("mut_id % 10 = 1").withColumn("mut_id", F.col("mut_id") + top + 1)
+    at = g.mutation_node.where("mut_id % 10 = 2").withColumn("mut_id", F.col("mut_id") + top)
     return g.having(mutations=g.mutations.unionByName(copy), mutation_node=g.mutation_node.unionByName(at))
 
 

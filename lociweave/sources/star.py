@@ -51,7 +51,7 @@ def individual_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hierarchy(spark: SparkSession, sf_dir: str) -> VariantGraph:
-    """customer < (nation, segment) < nation < region, ids bottom-up; every 13th of 200 mutations unmapped."""
+    """customer < (nation, segment) < nation < region, ids bottom-up; every part is a mutation, every 13th unmapped."""
     c = read(spark, sf_dir, "customer")
     names = c.select("c_mktsegment").distinct().withColumn("seg", F.row_number().over(Window.orderBy("c_mktsegment")) - 1)  # a handful
     n = c.count()
@@ -63,7 +63,7 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> VariantGraph:
     top = nations.select((at(150) + F.col("n_regionkey")).alias("parent"), (at(125) + F.col("n_nationkey")).alias("child"))
     edges = leaf.union(mid).union(top).select(F.col("parent").cast("long").alias("parent"), F.col("child").cast("long").alias("child"))
     nodes = edges.select(F.col("parent").alias("node_id")).union(edges.select("child")).distinct().select("node_id", (F.col("node_id") < n).alias("is_sample"), F.lit(None).cast("long").alias("num_coals"))
-    m = mutations(spark, sf_dir).where("mut_id < 200")
+    m = mutations(spark, sf_dir)
     node = F.when(F.col("mut_id") % 13 != 0, at(125) + F.expr("mut_id * 7 % 30"))
     placed = m.select("mut_id", node.cast("long").alias("node_id"), F.when(F.col("mut_id") % 4 == 0, at(125) + F.expr("mut_id * 3 % 25")).cast("long").alias("miss_node_id"))
     s = samples(spark, sf_dir).select("sample_idx", F.col("sample_idx").alias("node_id"), "individual_idx", "pop_id")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lociweave.plans import catalogue
+from lociweave.sources import star
 
 CUSTOMERS, PARTS = 40, 460
 Q = catalogue.QUERIES
@@ -101,3 +102,63 @@ def test_regression_on_every_mutation(spark, star_dir, carried):
         beta, b0 = np.polyfit(x[m], y, 1)
         assert r.n_carried == x[m].sum() and r.beta == pytest.approx(beta, abs=1e-3) and r.b0 == pytest.approx(b0, abs=1e-3)
         assert r.r2 == pytest.approx(np.corrcoef(x[m], y)[0, 1] ** 2, abs=1e-4)
+
+
+# the hierarchy
+
+
+@pytest.fixture(scope="module")
+def placed():
+    """mut_id, node, missingness node and samples beneath by node, of all parts."""
+    n = CUSTOMERS
+    at = {m: n + 125 + m * 7 % 30 if m % 13 else None for m in range(PARTS)}
+    miss = {m: n + 125 + m * 3 % 25 if m % 4 == 0 else None for m in range(PARTS)}
+    beneath = defaultdict(set)
+    for c in range(n):
+        nation = c * 7 % 25
+        beneath[n + 125 + nation].add(c)
+        beneath[n + 150 + nation % 5].add(c)
+    return at, miss, beneath
+
+
+def test_hierarchy_holds_every_part(spark, star_dir, placed):
+    at, miss, beneath = placed
+    got = dict(run(spark, star_dir, "g08_stats"))
+    assert got["num_mutations"] == PARTS and got["end_position"] == position(PARTS - 1) + 1
+    order = sorted(range(PARTS), key=lambda m: (at[m] is not None, at[m] or 0, m))
+    assert run(spark, star_dir, "d13_node_mut_pairs") == [(i, at[m], m, miss[m]) for i, m in enumerate(order)]
+    assert run(spark, star_dir, "d17_unmapped") == [(m,) for m in range(0, PARTS, 13)]
+    assert {n for (n,) in run(spark, star_dir, "d19_nodes_with_mutations")} == {n for n in at.values() if n}
+    pairs = sorted((m, s, 1) for m, n in at.items() if n for s in beneath[n])
+    assert run(spark, star_dir, "e15_carriers") == pairs
+    assert run(spark, star_dir, "f17_simplify") == pairs
+    assert run(spark, star_dir, "f19_subset_samples") == sorted((m, s // 20 * 2 + s % 2, 1) for m, s, _ in pairs if s // 2 % 10 == 0)
+
+
+def test_copies_of_every_part(spark, star_dir, placed):
+    at, _, beneath = placed
+    nodes = {m: {at[m]} | ({at[m + 1]} if m % 10 == 1 and m + 1 < PARTS else set()) for m in range(PARTS)}
+    want = Counter((position(m), f"B{m % 3}", f"T{m}", s) for m, own in nodes.items() for n in own if n for s in beneath[n])
+    assert run(spark, star_dir, "f09_ensure_unique") == sorted((*k, v) for k, v in want.items())
+
+
+def test_values_at_every_part(spark, star_dir, placed):
+    at, _, beneath = placed
+    for name, init in (("h06_init_vector", lambda node, row: row + 1), ("h07_init_matrix", lambda node, row: (node + row) % 5)):
+        edges = [(r.parent, r.child) for r in star.hierarchy(spark, star_dir).edges.collect()]
+        kids = defaultdict(list)
+        for p, c in edges:
+            kids[p].append(c)
+        value = lambda node, row: init(node, row) + ((node * 7 + row * 3) % 11 if node < CUSTOMERS else sum(value(c, row) for c in kids[node]))  # noqa: B023, E731
+        known = {n for e in edges for n in e}
+        got = {(r.row, r.mut_id): r.value for r in Q[name](spark, star_dir).collect()}
+        assert got == {(row, m): value(n, row) if n in known else 0 for row in range(3) for m, n in at.items()}
+
+
+def test_subset_of_every_part(spark, star_dir, placed):
+    at, miss, _ = placed
+    edges = [(r.parent, r.child) for r in star.hierarchy(spark, star_dir).edges.collect()]
+    below = {n for m in range(3, PARTS, 7) for n in (at[m], miss[m])}
+    while more := {c for p, c in edges if p in below} - below:
+        below |= more
+    assert run(spark, star_dir, "f18_subset_mutations") == sorted((p, c) for p, c in edges if p in below)
