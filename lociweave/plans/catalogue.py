@@ -648,7 +648,7 @@ def i04_standardized(spark, sf_dir):
 @query()
 def i03_pca_eigenvalues(spark, sf_dir):
     people = star.samples(spark, sf_dir).select("individual_idx").distinct()
-    values, _ = assoc.principal_components(cut(star.individual_counts(spark, sf_dir), "dosages"), star.mutations(spark, sf_dir), people, 2, 4)
+    values, _ = assoc.principal_components(cut(star.individual_counts(spark, sf_dir), "dosages"), star.mutations(spark, sf_dir), people, 2)
     return spark.createDataFrame([(i + 1, v) for i, v in enumerate(values)], "component int, eigenvalue double")
 
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from lociweave.operators import assoc
 from lociweave.plans import catalogue
 from lociweave.sources import star
 
@@ -162,3 +163,39 @@ def test_subset_of_every_part(spark, star_dir, placed):
     while more := {c for p, c in edges if p in below} - below:
         below |= more
     assert run(spark, star_dir, "f18_subset_mutations") == sorted((p, c) for p, c in edges if p in below)
+
+
+# principal components
+
+
+def relationship(x):
+    f = x.sum(axis=1, keepdims=True) / (2 * x.shape[1])
+    sigma = np.sqrt(2 * f * (1 - f))
+    z = np.divide(x - 2 * f, sigma, out=np.zeros_like(x), where=sigma > 0)
+    return z.T @ z / len(x)
+
+
+def test_eigenvalues_are_exact(spark, star_dir, carried):
+    x = np.zeros((PARTS, CUSTOMERS // 2))
+    for m, s in carried:
+        x[m, s // 2] += 1
+    exact = np.linalg.eigvalsh(relationship(x))[::-1][:2]
+    assert [r.eigenvalue for r in sorted(Q["i03_pca_eigenvalues"](spark, star_dir).collect())] == pytest.approx(exact, rel=1e-6)
+
+
+def test_components_of_a_close_spectrum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.binomial(2, 0.2, size=(300, 150)).astype(float)
+    tables = [
+        spark.createDataFrame([(int(m), int(i), int(x[m, i])) for m, i in zip(*np.nonzero(x), strict=True)], "mut_id long, individual_idx long, dosage long"),
+        spark.range(300).withColumnRenamed("id", "mut_id"),
+        spark.range(150).withColumnRenamed("id", "individual_idx"),
+    ]
+    a = relationship(x)
+    exact, vectors = np.linalg.eigh(a)
+    values, pcs = assoc.principal_components(*tables, k=2)
+    assert values == pytest.approx(exact[::-1][:2], rel=1e-5)
+    got = np.array([r[1:] for r in sorted(pcs.collect())])
+    assert np.abs(a @ got - got * values).max() < 1e-2 and got.T @ got == pytest.approx(np.eye(2), abs=1e-8)
+    with pytest.raises(RuntimeError):
+        assoc.principal_components(*tables, k=2, rounds=2)
