@@ -2,14 +2,14 @@
 
 A word's input is what is known of it (log odds and an embedding, by its hash) and of its characters
 (the largest log odds and the summed embeddings of its 5-byte sequences, the byte before it included).
-Windows of ``SPAN`` words, one each ``STRIDE`` words, run through a forward and a backward gated
+Windows of ``SPAN`` words, one at every word, run through a forward and a backward gated
 recurrent layer; attention weights pool the states into one logit. A text's score is that of its
 highest window, calibrated on the training texts. Words and sequences that don't tell the labels apart
 have no entry and the input 0; windows of such words alone are equal inputs and share one evaluation.
 
 Training is multiple-instance: a text marks only that some window of it is toxic, so in each round the
 windows that score highest stand for their text. It reads at most ``PER_LABEL`` texts of each label,
-chosen by a hash of their id, and ``TRAIN_CHARS`` characters of each; whole texts are scored.
+chosen by a hash of their id; whole texts are read and scored.
 
 Defined results: null and empty texts score 0; without training rows of both labels every text scores
 0; repeated rows give repeated rows; an empty table gives none; other columns are ignored.
@@ -28,9 +28,9 @@ from .jaccard_join import blocks
 from .runtime import doc_texts
 from .shingles import SPACES, word_hashes
 
-SPAN, STRIDE, HIDDEN = 16, 8, 8
-#: Training texts of each label, and characters of each.
-PER_LABEL, TRAIN_CHARS = 1200, 12_000
+SPAN, HIDDEN = 16, 8
+#: Training texts of each label.
+PER_LABEL = 1200
 #: Entries for words, and for character sequences, at most.
 ENTRIES = 16_384
 E_WORD, E_CHAR = 6, 4
@@ -229,15 +229,22 @@ class Model:
         return x
 
     @staticmethod
-    def windows(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places (n, SPAN), text of each window) of all windows; the last one of a text ends with it."""
-        sizes = np.diff(bounds)
-        each = np.where(sizes > 0, np.maximum(0, -(-(sizes - SPAN) // STRIDE)) + 1, 0)
+    def windows(bounds: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places (n, SPAN), text of each window) of the windows with a known input, of all that begin at a
+        word and end within the text (a shorter text has one); and the texts with others."""
+        sizes, n = np.diff(bounds), int(bounds[-1])
+        each = np.where(sizes > 0, np.maximum(1, sizes - SPAN + 1), 0)
         text = np.repeat(np.arange(len(sizes)), each)
-        k = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each)
-        start = bounds[text] + np.minimum(k * STRIDE, np.maximum(sizes[text] - SPAN, 0))
-        places = start[:, None] + np.arange(SPAN)
-        return np.where(places < bounds[text + 1][:, None], places, bounds[-1]), text
+        start = np.arange(len(text)) - np.repeat(np.cumsum(each) - each, each) + bounds[text]
+        alive = np.zeros(n, dtype=bool)
+        alive[at >= 0] = True
+        alive[owner] = True
+        seen = np.concatenate([[0], np.cumsum(alive)])
+        some = seen[np.minimum(start + SPAN, bounds[text + 1])] > seen[start]
+        plain = np.unique(text[~some])
+        start, text = start[some], text[some]
+        places = start.astype(np.int32)[:, None] + np.arange(SPAN, dtype=np.int32)
+        return np.where(places < bounds[text + 1].astype(np.int32)[:, None], places, np.int32(n)), text, plain
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """Each text's highest logit; -inf without words."""
@@ -247,15 +254,10 @@ class Model:
         if not n:
             return out
         x = self.vectors(n, at, g, owner)
-        places, text = self.windows(bounds)
-        alive = np.zeros(n + 1, dtype=bool)
-        alive[:n] = at >= 0
-        alive[owner] = True
-        some = np.flatnonzero(alive[places].any(axis=1))
-        values = np.full(len(places), self.plain, dtype=np.float32)
-        for k in range(0, len(some), 4096):
-            values[some[k : k + 4096]] = self.net.forward(x[places[some[k : k + 4096]]])
-        np.maximum.at(out, text, values)
+        places, text, plain = self.windows(bounds, at, owner)
+        out[plain] = self.plain
+        for k in range(0, len(places), 4096):
+            np.maximum.at(out, text[k : k + 4096], self.net.forward(x[places[k : k + 4096]]))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -280,12 +282,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
     model.gram_vectors = (rng.standard_normal((len(model.gram_odds), E_CHAR)) * 0.1).astype(np.float32)
     net = model.net = Network(seed)
     bounds, at, g, owner = model.all_inputs(texts)
-    places, text = model.windows(bounds)
-    alive = np.zeros(int(bounds[-1]) + 1, dtype=bool)
-    alive[:-1] = at >= 0
-    alive[owner] = True
-    some = np.flatnonzero(alive[places].any(axis=1))
-    places, text = places[some], text[some]
+    places, text, _ = model.windows(bounds, at, owner)
     by_owner = np.argsort(owner, kind="stable")
     g, owner = g[by_owner], owner[by_owner]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in {**net.p, "E": model.word_vectors, "C": model.gram_vectors}.items()}
@@ -374,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model()
     share = F.when(F.col("y") == 1, F.lit(int(1e6 * min(1.0, per_label / n[1])))).otherwise(F.lit(int(1e6 * min(1.0, 2 * per_label / n[0]))))
     picked = rows.where(F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1_000_000)) < share).limit(6 * per_label)
-    own = docs.select(F.col(f"`{id_col}`").alias("i"), F.substring(F.col(f"`{text_col}`"), 1, TRAIN_CHARS).alias("t")).where("t is not null")
+    own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
     found = own.join(F.broadcast(picked), "i").limit(6 * per_label).collect()  # at most 6 * per_label ids
     found.sort(key=lambda r: (r.i, r.t))
     return train([r.t.encode() for r in found], [r.y for r in found])

@@ -207,6 +207,28 @@ def test_gradients():
     assert dx.shape == x.shape
 
 
+def test_toxicity_scores_every_start():
+    """A text's score is that of the best window at any of its words, by scoring each alone."""
+    rng = random.Random(9)
+    tell = [b"tell%d" % k for k in range(4)]
+    model = toxicity.train([b" ".join([b"plain%d" % rng.randrange(50) for _ in range(12)] + (tell if y else [])) for y in [0, 1] * 60], [0, 1] * 60, rounds=2)
+    for before in range(16):
+        words = [b"plain%d" % (k % 50) for k in range(60)]
+        words[before + 10], words[before + 23] = tell[0], tell[1]
+        each = model.logits([b" ".join(words[k : k + toxicity.SPAN]) for k in range(len(words) - toxicity.SPAN + 1)])
+        assert model.logits([b" ".join(words)])[0] == pytest.approx(each.max(), abs=1e-5)
+
+
+def test_toxicity_trains_on_whole_texts(spark):
+    long = "plain words here " * 1200  # over 12,000 characters before the telling part
+    rows = [(i, (long if i % 2 else "some other text ") + ("vile awful scum" if i % 2 else f"n{i}")) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    words, *_ = toxicity.features([b"scum"])
+    assert model.words.find(words)[0] >= 0
+
+
 def test_toxicity_edges(spark, model):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "idiot clown idiot", 0.5), (3, "idiot clown idiot", 0.5), (None, "talumi", 0.5)], "doc_id long, text string, score double")
     got = sorted((r.doc_id or 0, r.score >= 0.7) for r in toxicity.score(docs, model).collect())
