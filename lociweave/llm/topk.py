@@ -8,8 +8,9 @@ dimensions of weight times the last value read, so reading stops once the kth sc
 Queries and vectors meet block by block: each block of queries is sent to every block of vectors, and
 the k best of each block are ranked. No block depends on how many rows share a value.
 
-Defined results: vectors that are null, hold a null or non-finite component, or one beyond
-``LIMIT``, take no part; a query is compared with vectors of its own length; rows with the same id
+Defined results: vectors that are null, or hold a null or non-finite component, take no part; components
+of any finite size are scored exactly, as Python's integers where 64 bits could overflow, and a score that
+64 bits can't hold is an error; a query is compared with vectors of its own length; rows with the same id
 and vector count once; fewer than k candidates give as many rows; an empty table gives none.
 """
 
@@ -26,9 +27,13 @@ from pyspark.sql import functions as F
 BLOCK, QUERY_BLOCK = 8192, 1024
 #: Rows read from each list before the first look at the bound; doubled each time.
 FIRST_STEP = 32
-#: Largest magnitude of a component that is scored (integers stay exact).
-LIMIT = 1 << 24
-RESULT = "query_id long, vec_id long, score long"
+#: ``over``: 1 above and -1 below the scores that 64 bits hold.
+RESULT = "query_id long, vec_id long, score long, over int"
+
+
+def products(a: np.ndarray, b: np.ndarray):
+    """a @ b, exact for Python's integers too."""
+    return a @ b if a.dtype != object else (a * b).sum(axis=-1)
 
 
 class Lists:
@@ -58,7 +63,7 @@ class Lists:
             new = np.flatnonzero(met & ~seen)
             if len(new):
                 seen[new] = True
-                at, score = np.concatenate([best_at, new]), np.concatenate([best, self.vectors[new] @ q])
+                at, score = np.concatenate([best_at, new]), np.concatenate([best, products(self.vectors[new], q)])
                 if len(at) > 8 * k:  # all that could be among the k best
                     keep = score >= np.partition(score, len(score) - k)[len(score) - k]
                     at, score = at[keep], score[keep]
@@ -66,7 +71,7 @@ class Lists:
                 best_at, best = at[order], score[order]
             if to == n:
                 break
-            bound = int(self.values[up, n - to] @ q[up] + self.values[down, to - 1] @ q[down])
+            bound = int(products(self.values[up, n - to], q[up]) + products(self.values[down, to - 1], q[down]))
             if len(best) == k and best[-1] > bound:
                 break
             read, step = to, 2 * step
@@ -78,12 +83,21 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def scaled(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """256 a and 256 b as 64-bit integers if no sum of products can overflow, else as Python's."""
+    size = lambda x: int(np.abs(x).max(initial=0.0)) + 1
+    if a.shape[1] * size(a) * size(b) < 1 << 45:  # 2^61 after scaling by 2^16
+        return (a * 256).astype(np.int64), (b * 256).astype(np.int64)
+    whole = np.frompyfunc(lambda x: int(x) * 256 if abs(x) >= 1 << 52 else int(x * 256), 1, 1)
+    return whole(a).astype(object), whole(b).astype(object)
+
+
 def integers(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, v array<bigint>, dim: the components floor(256 x) of vectors that take part."""
+    """vec_id, v array<double>, dim: the components floor(256 x) / 256, exact, of vectors that take part."""
     x: Column = F.col(f"`{vec_col}`").cast("array<double>")
-    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= LIMIT / 256))
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & fine)
-    return rows.select("vec_id", F.transform("x", lambda c: F.floor(c * 256).cast("long")).alias("v"), F.size("x").alias("dim"))
+    return rows.select("vec_id", F.transform("x", lambda c: F.when(F.abs(c) >= float(1 << 52), c).otherwise(F.floor(c * 256) / 256.0)).alias("v"), F.size("x").alias("dim"))
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -97,18 +111,22 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_
     right = rows.where(is_query).select("dim", spread("b", blocks), own(query_blocks).alias("qb"), "vec_id", "v")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         if a.num_rows and b.num_rows:
-            lists = Lists(a["vec_id"].to_numpy(), matrix(a["v"]))
-            for i, q in zip(b["vec_id"].to_pylist(), matrix(b["v"]), strict=True):
-                out += [(i, v, s) for v, s in lists.search(i, q, k)]
-        cols = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+            own, asked = scaled(matrix(a["v"]), matrix(b["v"]))
+            lists = Lists(a["vec_id"].to_numpy(), own)
+            for i, q in zip(b["vec_id"].to_pylist(), asked, strict=True):
+                for v, s in lists.search(i, q, k):
+                    over = int(s >= 1 << 63) - int(s < -(1 << 63))
+                    out.append((i, v, 0 if over else s, over))
+        cols = zip(*out, strict=True) if out else ((), (), (), ())
+        return pa.table({name: pa.array(c, t) for (name, t), c in zip((("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("over", pa.int32())), cols, strict=True)})
 
     keys = ["dim", "b", "qb"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, RESULT)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("over"), F.desc("score"), "vec_id"))
+    held = F.when(F.col("over") == 0, F.col("score")).otherwise(F.raise_error(F.lit("a score among the best does not fit into 64 bits")).cast("long"))
+    return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", held.alias("score"))
 
 
 #: The same for DuckDB, over the view embeddings.

@@ -1,6 +1,8 @@
 """Operators on texts against brute force, with nulls, empty and long texts, ties and repeated rows."""
 
+import fractions
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -125,6 +127,26 @@ def test_topk(spark):
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 10.0 ** rng.integers(0, 7)]) for i in range(120)]
+    rows += [(200, [3.0e9, 1.0, 0.0, 0.25]), (201, [-3.0e9, 1.0, 0.0, 0.5]), (202, [1.0e300, 0.0, 0.0, 0.0]), (203, [0.0, 70000.5, 2.0**21, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = {i: [math.floor(fractions.Fraction(x) * 256) for x in v] for i, v in rows}
+    asked = [(i, v) for i, v in rows if i % 20 == 7]
+    queries = [(1000 + i, [0.0, *v[1:]]) for i, v in asked]  # their scores fit
+    own |= {i: [math.floor(fractions.Fraction(x) * 256) for x in v] for i, v in queries}
+    want = []
+    for q, _ in queries:
+        scores = sorted((-sum(x * y for x, y in zip(own[q], b, strict=True)), i) for i, b in own.items() if i != q)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
+    assert all(abs(s) < 1 << 63 for *_, s in want) and {i for _, _, i, _ in want} & {200, 201, 203}
+    both = df.union(spark.createDataFrame(queries, df.schema))
+    assert sorted(map(tuple, topk.search(both, F.col("vec_id") >= 1000, block=50).collect())) == sorted(want)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(df, F.col("vec_id") == 200).collect()
+
+
 def test_topk_stops_early():
     v = np.zeros((5000, 2), dtype=np.int64)
     v[:, 0] = np.arange(5000)
