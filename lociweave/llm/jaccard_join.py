@@ -1,27 +1,33 @@
 """Exact self-join of word-shingle sets at Jaccard similarity >= 0.75, and its components.
 
-Pivots and regions. In this metric space (distance 1 - Jaccard) nearly all pairs of texts are at
-distance 1, so cells around documents would each need every document. The pivots of the first level
-are therefore shingles: a document is nearest to the first shingle of its set in one global order,
-and that shingle's region is its home. The window that replicates it follows from the distance: a set
-that shares none of x's first t shingles is at distance >= t / |x| from x, so once t / |x| exceeds the
-radius no partner is left, and x needs no further region. Reading n/20 shingles more, partners share
-several regions, and a document or pair with too few shared ones is ruled out without its text.
-
-The order puts shingles last whose cell in a table of counts (over all documents, of fixed size) is
-far above the mean: boilerplate and large groups of copies don't make regions of unrelated documents.
-Any order gives the same result; this one keeps regions small.
-
-Regions of up to ``SMALL`` documents are joined pair by pair. Larger ones are joined around a pivot
-document, the one with most large regions; regions with one pivot form its cell, so members meet once.
-Documents within the radius of the pivot are linked to it. Each other one is joined, in blocks of
-``BLOCK`` sets, with those whose distance to the pivot differs by at most the radius (triangle
-inequality); a pair of blocks counts all its overlaps at once and returns only links. Candidates are
-verified on their whole sets. Pairs already linked through one document are not compared again.
+The space is that of shingle sets with the distance 1 - Jaccard; links are pairs within the radius 0.25.
+
+First pivots: the one-element sets. {s} is at distance 1 - 1/|x| from every x that holds s and at 1 from all
+others, so the nearest pivots of x are its own shingles; ties go by one global order, and the region of x's
+first shingle is x's home. The boundary that is replicated follows from the radius: a set that shares none of
+x's first t shingles is at distance >= t / |x| from x, so once t / |x| exceeds the radius no partner is left
+and x needs no further region. Reading n/20 shingles more, partners share several regions, and a document
+with too few shared ones is ruled out without its text. The order puts shingles last whose cell in a table of
+counts (over all documents, of fixed size) is far above the mean; any order gives the same result. (Documents
+as first pivots would each be at distance 1 from nearly all others, and every window would hold every document.)
+
+Cells: each region names the member with most regions; regions that name one document form its cell.
+
+Recursion: a cell that is larger than a block gets ``PIVOTS`` documents as pivots. Every member goes to the
+Voronoi region of its nearest one, and also to those whose pivot is at most twice the radius farther: by the
+triangle inequality no pair within the radius is separated. Members within the radius of a pivot are linked to
+it, and so to each other; of them only those whose distance is at most the radius below that of the nearest
+member outside go on. The regions are the cells of the next level. A cell of at most a block, of two
+documents, or one that its pivots could not shrink is joined at once, block by block.
+
+Nothing gathers a cell: members meet pivots in blocks of ``BLOCK`` shingles, a task holds two blocks at most.
+Sets of candidate documents are written once and joined by sorting, at every size; the texts they are made
+of are chosen by a bitmap of fixed size, whose false positives only store sets that nothing asks for.
 
 Defined results: sets of texts without words are empty and linked with nothing; a null text has none;
 rows with one doc_id count as one document (linked); rows with a null doc_id have a null component;
-repeated rows give repeated rows; an empty table gives none; other columns are ignored.
+repeated rows give repeated rows; an empty table gives none; very long texts are read whole (a set larger
+than a block is a block of its own); other columns are ignored. Links are found up to connectivity.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import discard, doc_texts, materialize, partitions
+from .runtime import discard, doc_texts, materialize, partitions, tidy
 from .shingles import LOWER, mix, sequences, word_hashes
 
 WORDS = 5
@@ -42,15 +48,13 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Cells of the table of counts, and slices it is added up in.
 CELLS, SLICES = 1 << 22, 64
-#: Documents of a region that is joined pair by pair.
-SMALL = 32
-#: Documents of a block in a large region, and the steps of distance that blocks are cut by.
-BLOCK, STEPS = 512, 20
+#: Shingles of a block of sets; pivots of a cell that is larger; shrinking by less than this ends the recursion.
+BLOCK, PIVOTS, SHRINK = 1 << 16, 6, 0.8
+#: Bits of the map of candidate documents, and slices it is made in.
+MAP_BITS, MAP_SLICES = 26, 256
 #: Bits of a region's number.
 BITS = 44
 BLOCK_CHARS = 1_000_000
-#: Ids of candidate documents up to this many are broadcast to the texts; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
 _FLUSH = 1_000_000
 
 
@@ -118,7 +122,7 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
         none = [pa.nulls(SLICES, pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], ["doc_id", "n", "k1", "k2", "slice", "counts"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, slice int, counts binary")
+    return docs.mapInArrow(tidy(run), "doc_id long, n long, k1 long, k2 long, slice int, counts binary")
 
 
 def frequent(described: DataFrame) -> np.ndarray:
@@ -137,7 +141,7 @@ def frequent(described: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "counts"])
 
     kind = "slice int, counts binary"
-    found = described.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(add, kind)
+    found = described.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(tidy(add), kind)
     bits = {r.slice: np.frombuffer(r.counts, dtype=np.uint32) > limit for r in found.collect()}  # CELLS numbers at most
     size = CELLS // SLICES
     return np.packbits(np.concatenate([bits.get(i, np.zeros(size, dtype=bool)) for i in range(SLICES)]))
@@ -188,7 +192,7 @@ def regions(docs: DataFrame, hot: np.ndarray, words: int, parts: int) -> DataFra
                 n = len(s)
                 if not n or (key := s.data.tobytes() if n < 4 else mix(s.copy()).sum().tobytes() + s[:2].tobytes()) in seen:
                     continue
-                if len(seen) < 200_000:
+                if len(seen) < 50_000:  # repeats beyond are sent again
                     seen.add(key)
                 last = bits[_cells(s)]
                 take = min(n, n - needed(n) + 1 + extra(n))
@@ -205,68 +209,100 @@ def regions(docs: DataFrame, hot: np.ndarray, words: int, parts: int) -> DataFra
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lms, docs_, hots = [], [], []
+        own, lms, found = None, [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if lms:
+                lm, doc = np.concatenate(lms), np.concatenate(found)
+                order = np.argsort(lm, kind="stable")
+                lm, doc = lm[order], doc[order]
+                same = lm[1:] == lm[:-1]
+                keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+                yield pa.RecordBatch.from_arrays([pa.array(lm[keep]), pa.array(doc[keep])], ["lm", "doc_id"])
+                lms.clear()
+                found.clear()
+
         for b in batches:
-            for h, a, d in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for g, h, a, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
                 n = len(d) // 8
                 lm = np.frombuffer(a, "<u4", n).astype(np.int64) | np.frombuffer(a, "<u2", n, 4 * n).astype(np.int64) << 32
                 doc = np.frombuffer(d, np.int64)
                 if h:
-                    yield pa.RecordBatch.from_arrays([pa.array(lm), pa.array(doc), pa.array(np.ones(n, dtype=bool))], ["lm", "doc_id", "hot"])
-                else:
-                    lms.append(lm)
-                    docs_.append(doc)
-        if lms:
-            lm, doc = np.concatenate(lms), np.concatenate(docs_)
-            order = np.argsort(lm, kind="stable")
-            lm, doc = lm[order], doc[order]
-            same = lm[1:] == lm[:-1]
-            keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            lm, doc = lm[keep], doc[keep]
-            for k in range(0, len(lm), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(lm[k : k + 200_000]), pa.array(doc[k : k + 200_000]), pa.array(np.zeros(len(lm[k : k + 200_000]), dtype=bool))], ["lm", "doc_id", "hot"])
+                    yield pa.RecordBatch.from_arrays([pa.array(lm), pa.array(doc)], ["lm", "doc_id"])
+                    continue
+                if g != own:
+                    yield from close()
+                    own = g
+                lms.append(lm)
+                found.append(doc)
+        yield from close()
 
-    packed = docs.where("doc_id is not null").mapInArrow(deal, "g int, hot boolean, lm binary, doc binary")
-    return packed.repartition(parts, "g").mapInArrow(meet, "lm long, doc_id long, hot boolean")
+    packed = docs.where("doc_id is not null").mapInArrow(tidy(deal), "g int, hot boolean, lm binary, doc binary")
+    return packed.repartition(parts, "g").sortWithinPartitions("g").mapInArrow(tidy(meet), "lm long, doc_id long")
 
 
-def stored_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, s binary: the sets of the documents that take part in a candidate pair."""
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64) + np.uint64(1)) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in blocks(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts, words)], pa.binary())], ["node", "s"])
 
-    ids = materialize(nodes.select(F.col("node").alias("doc_id")).distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    own = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("doc_id", "text")
-    return own.mapInArrow(run, "node long, s binary").distinct()
+def id_map(ids: DataFrame, parts: int) -> np.ndarray:
+    """A bitmap, packed, that holds every id of the table (of fixed size; others may be in it too)."""
+    size = (1 << MAP_BITS) // MAP_SLICES
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bit = np.unique(_bit(b.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array((bit // size).astype(np.int32)), pa.array((bit % size).astype(np.int32))], ["slice", "at"])
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared, na, nb of every pair (a, b), by their whole sets."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            k, at = (b.column(i).to_numpy() for i in (0, 1))
+            for i in np.unique(k).tolist():
+                bits.setdefault(i, np.zeros(size, dtype=bool))[at[k == i]] = True
+        if bits:
+            yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], ["slice", "bits"])
+
+    spread = ids.mapInArrow(deal, "slice int, at int").repartition(parts, "slice")
+    found = {r.slice: r.bits for r in spread.mapInArrow(tidy(add), "slice int, bits binary").collect()}  # 2^MAP_BITS bits at most
+    return np.frombuffer(b"".join(found.get(i, bytes(size // 8)) for i in range(MAP_SLICES)), dtype=np.uint8)
+
+
+def stored_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """node, k, s binary: the sets of the documents that ids names (and of some others), k a digest."""
+    sent = docs.sparkSession.sparkContext.broadcast(id_map(ids, partitions(docs)))  # 2^MAP_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i in range(b.num_rows):
-                x, y = (np.frombuffer(b.column(k)[i].as_buffer(), dtype=np.uint64) for k in (2, 3))
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                rows.append(int(np.count_nonzero(y[at] == x)) if len(x) else 0)
-            na, nb = ([len(v.as_buffer()) // 8 for v in b.column(k)] for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.int64()), pa.array(na, pa.int64()), pa.array(nb, pa.int64())], ["a", "b", "shared", "na", "nb"])
-
-    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, shared long, na long, nb long")
-
-
-_LINKED = f"{DEN} * shared >= {NUM} * (na + nb - shared)"
-_DISTANCE = "1 - shared / (na + nb - shared)"
+            bit = _bit(b.column(0).to_numpy(zero_copy_only=False))
+            some = b.take(pa.array(np.flatnonzero(sent.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)))
+            for own, texts in blocks(iter([some])):
+                sets = shingle_sets(texts, words)
+                k = [int(mix(s + np.uint64(9)).sum(dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(k, pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "k", "s"])
+
+    return docs.where("doc_id is not null").mapInArrow(tidy(run), "node long, k long, s binary")
+
+
 _RADIUS = 1 - NUM / DEN
+#: For comparisons of distances, which are rounded.
+_EPS = 1e-9
+
+
+def shared(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted sets have in common."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x):
+        return 0
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
+
+
+def linked(n, na, nb):
+    """Whether sets of na and nb with n in common are within the radius."""
+    return (n > 0) & (DEN * n >= NUM * (na + nb - n))
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -293,49 +329,123 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def cell_links(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links of the documents that are beyond the radius of their cell's pivot.
+def forest(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+    """Links of a block (side 0), or between two blocks (sides 0 and 1), of (side, id, set); of the links
+    within a connected group only some."""
+    up = {i: i for _, i, _ in rows}
+
+    def root(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+
+    def link(i: int, j: int) -> None:
+        p, q = root(i), root(j)
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((i, j))
+
+    one = [(i, s) for side, i, s in rows if side == 0]
+    two = [(i, s) for side, i, s in rows if side == 1] or one
+    if len(one) * len(two) <= 144:
+        for a, (i, x) in enumerate(one):
+            for j, y in two[a + 1 :] if two is one else two:
+                if len(x) * DEN >= len(y) * NUM and len(y) * DEN >= len(x) * NUM and root(i) != root(j) and linked(shared(x, y), len(x), len(y)):
+                    link(i, j)
+        return out
+    n = overlaps([s for _, s in one], [s for _, s in two]).astype(np.int64)
+    na, nb = (np.array([len(s) for _, s in v]) for v in (one, two))
+    found = linked(n, na[:, None], nb[None, :])
+    for a, b in np.argwhere(np.triu(found, 1) if two is one else found):
+        link(one[a][0], two[b][0])
+    return out
+
+
+LEVEL = "cell long, rep long, n long, own boolean, solo boolean, up long, d array<double>, near array<boolean>, s binary"
+
 
-    cells: pivot, rep, d. Blocks are cut by step of distance and by hash, so none gathers a cell.
+def meet_level(rows: DataFrame) -> DataFrame:
+    """Of blocks that meet: links a, b. Of members and pivots: links to the pivots, and LEVEL, d and near by pivot.
+
+    rows: LEVEL without d and near, one, two (-1: members with pivots, else two blocks), side; in any order.
     """
-    step = F.least(F.lit(STEPS - 1), F.floor(F.col("d") * STEPS)).cast("int")
-    own = materialize(cells.select("pivot", "rep", (F.col("d") > _RADIUS).alias("far"), step.alias("q")), "cells")
-    sizes = own.groupBy("pivot", "far", "q").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("k"))
-    sizes = materialize(sizes, "sizes")
-    block = materialize(own.join(sizes, ["pivot", "far", "q"]).select("pivot", "rep", F.concat_ws(".", F.col("far").cast("string"), "q", F.pmod(F.xxhash64("rep"), F.col("k"))).alias("blk")), "blocks")
-    names = sizes.select("pivot", "far", "q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("h")).select("pivot", "far", "q", F.concat_ws(".", F.col("far").cast("string"), "q", "h").alias("blk"))
-    one = names.where("far").select("pivot", F.col("q").alias("q1"), F.col("blk").alias("one"))
-    two = names.select("pivot", F.col("far").alias("far2"), F.col("q").alias("q2"), F.col("blk").alias("two"))
-    reach = F.abs(F.col("q1") - F.col("q2")) - 1 <= _RADIUS * STEPS + 1e-9
-    meets = materialize(one.join(two, "pivot").where(reach & (~F.col("far2") | (F.col("one") <= F.col("two")))).select("pivot", "one", "two"), "meets")
-    stored = sets.withColumnRenamed("node", "rep")
-    side = lambda name: block.withColumnRenamed("blk", name).join(meets, ["pivot", name]).join(stored, "rep").select("pivot", "one", "two", "rep", "s")
-
-    def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = ([np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in t.column(4)] for t in (a, b))
-        ia, ib = a.column(3).to_numpy(), b.column(3).to_numpy()
-        n = overlaps(x, y).astype(np.int64)
-        total = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
-        linked = (DEN * n >= NUM * (total - n)) & (n > 0) & (ia[:, None] != ib[None, :])
-        up = {int(i): int(i) for i in (*ia, *ib)}  # of the links found, a forest is enough
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        out = []
-        for i, j in np.argwhere(linked):
-            p, q = root(int(ia[i])), root(int(ib[j]))
-            if p != q:
-                up[max(p, q)] = min(p, q)
-                out.append((int(ia[i]), int(ib[j])))
-        return pa.table({"a": pa.array([i for i, _ in out], pa.int64()), "b": pa.array([j for _, j in out], pa.int64())})
-
-    keys = ["pivot", "one", "two"]
-    right = side("two").toDF("pivot_", "one_", "two_", "rep_", "s_")
-    return side("one").groupBy(*keys).cogroup(right.groupBy("pivot_", "one_", "two_")).applyInArrow(run, "a long, b long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        links: list[tuple[int, int]] = []
+        for batch in batches:
+            took, ds, nears = [], [], []
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            sets = batch.column(5)
+            for r, (cell, one, two, side, rep) in enumerate(zip(*(c.tolist() for c in cols), strict=True)):
+                if (cell, one, two) != key:
+                    if key and key[2] >= 0:
+                        links += forest(kept)
+                    key, kept = (cell, one, two), []
+                x = np.frombuffer(sets[r].as_buffer(), dtype=np.uint64)
+                if two >= 0 or side == 0:
+                    kept.append((side, rep, x.copy()))
+                    continue
+                n = [shared(x, y) for _, _, y in kept]
+                near = [bool(linked(k, len(x), len(y))) for k, (_, _, y) in zip(n, kept, strict=True)]
+                links += [(rep, i) for ok, (_, i, _) in zip(near, kept, strict=True) if ok and i != rep]
+                if all(i != rep for _, i, _ in kept):
+                    took.append(r)
+                    ds.append([1 - k / max(1, len(x) + len(y) - k) for k, (_, _, y) in zip(n, kept, strict=True)])
+                    nears.append(near)
+            yield from batch_of(links, batch, took, ds, nears)
+            links = []
+        if key and key[2] >= 0:
+            links = forest(kept)
+        yield from batch_of(links, None, [], [], [])
+
+    def batch_of(links, batch, took, ds, nears) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b", *NAMES]
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), t) for t in TYPES)], names)
+        if took:
+            some = batch.take(pa.array(took, pa.int64()))
+            at = dict(zip(batch.schema.names, some.columns, strict=True)) | {"d": pa.array(ds, pa.list_(pa.float64())), "near": pa.array(nears, pa.list_(pa.bool_()))}
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(took), pa.int64()), pa.nulls(len(took), pa.int64()), *(at[n] for n in NAMES)], names)
+
+    NAMES = ["cell", "rep", "n", "own", "solo", "up", "d", "near", "s"]
+    TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.bool_()), pa.binary()]
+    ready = rows.select("cell", "one", "two", "side", "rep", "s", "n", "own", "solo", "up").repartition("cell", "one", "two").sortWithinPartitions("cell", "one", "two", "side", "rep")
+    return ready.mapInArrow(tidy(run), f"a long, b long, {LEVEL}")
+
+
+def dealt(cells: DataFrame, level: int) -> DataFrame:
+    """The rows of cells (LEVEL without d and near, with or without s) by block, and pivots with every block."""
+    chosen = [F.min(F.when(F.col("own") & F.col("solo"), F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("h"), F.col("rep").alias("rep"))))["rep"].alias(f"p{k}") for k in range(PIVOTS)]
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.max("up").alias("before"), *chosen)
+    at_once = (F.col("c") <= 2) | (F.col("total") <= BLOCK) | (F.col("total") > SHRINK * F.col("before")) | F.col("p0").isNull()
+    blocks_ = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int")
+    sizes = sizes.select("cell", "total", F.when(F.col("c") <= 2, 1).otherwise(F.greatest(blocks_, F.lit(1))).alias("k"), at_once.alias("once"), F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots"))
+    rows = cells.drop("up").join(sizes, "cell").withColumn("b", F.pmod(F.xxhash64("rep", F.lit(level)), F.col("k")).cast("int"))
+    place = lambda one, two, side: F.struct(one.cast("int").alias("one"), two.cast("int").alias("two"), side.cast("int").alias("side"))
+    every = F.sequence(F.lit(0), F.col("k") - 1)
+    meets = F.transform(every, lambda o: place(F.least(o, F.col("b")), F.greatest(o, F.col("b")), F.when(o < F.col("b"), 1).otherwise(0)))
+    member = F.array(place(F.col("b"), F.lit(-1), F.lit(1)))
+    pivot = F.when(F.array_contains("pivots", F.col("rep")), F.transform(every, lambda o: place(o, F.lit(-1), F.lit(0)))).otherwise(F.array().cast("array<struct<one:int,two:int,side:int>>"))
+    out = rows.withColumn("at", F.explode(F.when(F.col("once"), meets).otherwise(F.concat(member, pivot))))
+    return out.withColumn("up", F.col("total")).select(*cells.columns, "at.one", "at.two", "at.side")
+
+
+def regions_of(done: DataFrame, level: int) -> DataFrame:
+    """The cells of the next level: Voronoi regions with their windows, without what needs no more partner."""
+    nearest = (F.array_position("d", F.array_min("d")) - 1).cast("int")
+    own = done.where("cell is not null").withColumn("home", nearest)
+    reach = F.array_min("d") + 2 * _RADIUS + _EPS
+    # a pair whose members are at home with different pivots meets in the region of the first of them
+    places = F.filter(F.sequence(F.lit(0), F.col("home")), lambda j: (j == F.col("home")) | (F.get("d", j) <= reach))
+    rows = own.withColumn("j", F.explode(places)).withColumn("dj", F.expr("get(d, j)")).withColumn("ok", F.expr("get(near, j)"))
+    rows = rows.select(F.xxhash64("cell", "j", F.lit(level)).alias("cell"), "rep", "n", (F.col("j") == F.col("home")).alias("own"), "solo", "up", "s", "dj", "ok")
+    far = rows.groupBy("cell").agg(F.min(F.when(~F.col("ok"), F.col("dj"))).alias("least"), F.max("own").alias("alive"), F.count("*").alias("c")).where("least is not null and alive and c > 1")
+    return rows.join(far, "cell").where(~F.col("ok") | (F.col("dj") >= F.col("least") - _RADIUS - _EPS)).select("cell", "rep", "n", "own", "solo", "up", "s")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -346,54 +456,46 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     hot = frequent(described)
     rows = described.where("slice is null").select("doc_id", "n", "k1", "k2")
 
-    # classes of equal sets
-    reps = materialize(rows.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "reps")
-    classes = materialize(rows.join(reps, ["k1", "k2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
-    discard(described)
-    same = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # classes of equal sets; solo: no other class has the same representative
+    reps = rows.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    reps = materialize(reps, "reps")
+    solo = reps.groupBy("rep").agg((F.count("*") == 1).alias("solo"))
+    known = materialize(reps.join(solo, "rep"), "reps")
+    classes = materialize(rows.join(known, ["k1", "k2"], "left").select("doc_id", "n", "solo", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
+    discard(described, reps, known)
+    links = classes.where("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # regions, as rows of class representatives that share enough of them
-    members = regions(own, hot, words, parts).join(classes.where("rep is not null").select("doc_id", "rep", "n"), "doc_id").groupBy("lm", "rep", "n").agg(F.max("hot").alias("hot"))
-    members = materialize(members, "members")
-
-    def shared(of: DataFrame) -> DataFrame:
-        """Members of regions with two at least, with the region's size."""
-        sizes = materialize(of.groupBy("lm").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-        return of.join(sizes, "lm")
-
-    first = shared(members)
-    enough = materialize(first.groupBy("rep", "n").agg(F.count("*").alias("k")).where(F.col("k") >= 1 + F.floor(F.col("n") * NUM / DEN / 20)).select("rep", "n"), "enough")
-    left = materialize(members.join(enough, ["rep", "n"], "left_semi").select("lm", "rep", "n"), "members")
+    found = regions(own, hot, words, parts).join(classes.where("rep is not null").select("doc_id", "rep", "n", "solo"), "doc_id")
+    members = materialize(found.select("lm", "rep", "n", "solo").distinct(), "members")
+    sizes = members.groupBy("lm").agg(F.count("*").alias("c")).where("c > 1")
+    enough = members.join(sizes, "lm").groupBy("rep", "n").agg(F.count("*").alias("w")).where(F.col("w") >= 1 + F.floor(F.col("n") * NUM / DEN / 20))
+    enough = materialize(enough, "enough")
+    left = materialize(members.join(enough, ["rep", "n"]), "members")
     discard(members)
-    kept = materialize(shared(left), "regions")
-    discard(left)
-
-    # small regions: pairs with enough shared regions
-    lists = kept.where(F.col("size") <= SMALL).groupBy("lm").agg(F.array_sort(F.collect_list(F.struct("rep", "n"))).alias("m"))
-    pairs = lists.select(F.explode(F.flatten(F.transform("m", lambda x, i: F.transform(F.filter(F.slice("m", i + 2, F.size("m")), lambda y: (y["rep"] > x["rep"]) & (x["n"] * DEN >= y["n"] * NUM) & (y["n"] * DEN >= x["n"] * NUM)), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b"), F.least(x["n"], y["n"]).alias("n")))))).alias("p"))
-    pairs = materialize(pairs.select("p.a", "p.b", "p.n").groupBy("a", "b").agg(F.count("*").alias("k"), F.min("n").alias("n")).where(F.col("k") >= 1 + F.floor(F.col("n") / 20)).select("a", "b"), "pairs")
-    large = materialize(kept.where(F.col("size") > SMALL).select("lm", "rep"), "large")
-    discard(kept)
-
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(large.select(F.col("rep").alias("node")))
-    sets = materialize(stored_sets(own, nodes, words), "stored")
-
-    # each document with its smallest candidate, then the pairs that don't share that one
-    first = materialize(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets).where(_LINKED).select("a", "b"), "verified")
-    head = lambda c: first.select(F.col("b").alias(c), F.col("a").alias(f"head_{c}"))
-    rest = pairs.join(head("a"), "a", "left").join(head("b"), "b", "left").where(F.coalesce("head_a", "a") != F.coalesce("head_b", "b")).select("a", "b")
-    second = materialize(verify(materialize(rest, "rest"), sets).where(_LINKED).select("a", "b"), "verified")
-    links = same.union(first).union(second)
-
-    # large regions: cells around pivots
-    if large.limit(1).count():
-        weight = large.groupBy("rep").agg(F.count("*").alias("w"))
-        best = large.join(weight, "rep").groupBy("lm").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"))).alias("best"))
-        pivots = materialize(best.select("lm", (-F.col("best.m")).alias("pivot")), "pivots")
-        members = materialize(large.select("lm", "rep").join(pivots, "lm").select("pivot", "rep").distinct(), "members")
-        others = members.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-        seen = materialize(verify(others, sets), "distances")
-        links = links.union(seen.where(_LINKED).select("a", "b")).union(materialize(cell_links(seen.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), F.expr(_DISTANCE).alias("d")), sets), "links"))
+    named = left.groupBy("lm").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"))).alias("best"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
+    cells = left.join(named.select("lm", (-F.col("best.m")).alias("cell")), "lm")
+    cells = cells.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.lit(True).alias("own"), F.min("solo").alias("solo"), F.lit((1 << 63) - 1).alias("up"))
+    cells = materialize(cells, "cells")
+    discard(left, enough)
+
+    sets = materialize(stored_sets(own, cells.select("rep"), words), "stored")
+    one_each = sets.repartition("node").groupBy("node", "k").agg(F.first("s").alias("s"))
+    here = dealt(cells, 0).hint("merge").join(one_each.select(F.col("node").alias("rep"), "s").hint("merge"), "rep")
+    level, steps = 0, []
+    while True:
+        done = materialize(meet_level(here), "met")
+        steps.append(done)
+        if level == 0:
+            discard(sets)
+        discard(cells)
+        links = links.union(done.where("a is not null").select("a", "b"))
+        cells = materialize(regions_of(done, level), "cells")
+        if not cells.take(1):
+            break
+        level += 1
+        here = dealt(cells, level)
     of = materialize(components(links), "components")
+    discard(cells, *steps)
     out = classes.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))

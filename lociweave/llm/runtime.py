@@ -1,16 +1,10 @@
-"""Shared plumbing of the text operators: tables, durable intermediate results, Arrow batches.
-
-Intermediate results are Parquet tables in the folder of ``spark.checkpoint.dir``, which all
-executors share, so that a lost executor costs a re-run of its tasks and nothing else.
-"""
+"""Shared plumbing of the text operators: tables, durable intermediate results, Arrow batches."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,45 +12,61 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import cut, discard
+
+__all__ = ["WORD", "discard", "doc_texts", "free_names", "ids_and_texts", "materialize", "partitions", "table", "tidy"]
+
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
-_own: dict[str, str] = {}
+#: Bytes of a batch that a Python function gets.
+BATCH_BYTES = 8_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.applicationId not in _own:
-            _own[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="lociweave-")
-            atexit.register(shutil.rmtree, _own[spark.sparkContext.applicationId], True)
-        found = f"file://{_own[spark.sparkContext.applicationId]}"
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lociweave_path = path
+    """Write a table to the shared folder and read it again, in small batches."""
+    return cut(df, name, BATCH_BYTES)
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow whose worker gives its free memory back when a task ends: Spark keeps
+    workers for the tasks that follow, and what they hold counts against the executor."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            libc = _libc()
+            if hasattr(libc, "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """Internal column names that no input column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of :func:`materialize` that nothing reads any more."""
-    path = getattr(df, "_lociweave_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
-
-
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -53,17 +53,45 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("small,block", [(32, 512), (3, 512), (2, 5)])
-def test_equals_all_pairs(spark, small, block, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
+ODD = [(900, None), (901, ""), (902, "  \n"), (None, "a b c"), (903, "A b C"), (904, "a B c"), (904, "a B c"), (905, "one text"), (905, "x y z"), (906, "x y z")]
+
+
+@pytest.mark.parametrize("seed,block", [(32, 1 << 16), (3, 400), (2, 60)])
+def test_equals_all_pairs(spark, seed, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
-    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 500_000 if small == 32 else 0)
-    rows = corpus(small) + [(900, None), (901, ""), (902, "  \n"), (None, "a b c"), (903, "A b C"), (904, "a B c"), (904, "a B c")]
+    rows = corpus(seed) + ODD
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rep int, lm string")
     got = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
     assert got == brute(rows)
 
 
+def test_recursion_of_three_levels(spark, monkeypatch):
+    """Chains of near copies that share regions: several pivots' regions hold more than a block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 30)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+    monkeypatch.setattr(jaccard_join, "SHRINK", 1.0)
+    levels, deal = [], jaccard_join.dealt
+    monkeypatch.setattr(jaccard_join, "dealt", lambda cells, level: levels.append(level) or deal(cells, level))
+    rng = random.Random(8)
+    text = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(140):
+        for _ in range(rng.randrange(0, 3)):
+            text[rng.randrange(60)] = f"w{rng.randrange(300)}"
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.join(docs).collect()), key=str) == brute(rows)
+    assert len(levels) >= 3
+
+
+def test_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(50_000)}" for _ in range(90_000)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words[:-9], "x"])), (2, " ".join(words[:60_000])), (3, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.component_id for r in jaccard_join.join(docs).orderBy("doc_id").collect()] == [0, 0, 2, 3]
+
+
 def test_frequent_cells_only_reorder(spark, monkeypatch):
     import numpy as np
 
