@@ -1,35 +1,83 @@
-"""Durable intermediate tables for iterative operators, and distributed ranks."""
+"""Durable intermediate tables for iterative operators, and distributed ranks.
+
+Tables are Parquet in a folder that all executors share: that of ``spark.checkpoint.dir``, or else the one
+given to ``SparkContext.setCheckpointDir``. Each application writes below a folder of its own there, which is
+deleted when its JVM ends; tables that nothing reads any more can go earlier by :func:`discard`.
+"""
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def _path(spark: SparkSession, path: str):
+    """(file system, path) in the JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session has none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="lociweave-")
-            atexit.register(shutil.rmtree, _own[app], True)
-        found = f"file://{_own[app]}"
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write a table to the shared folder and read it again: ends its lineage, survives lost executors."""
-    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """This application's folder. Without a shared one, only a local master may use a temporary folder."""
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = f"file://{tempfile.gettempdir()}"
+        found = f"{base.rstrip('/')}/lociweave-{app}-{uuid.uuid4().hex[:8]}"
+        files, at = _path(spark, found)
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _own[app] = found
+    return _own[app]
+
+
+def cut(df: DataFrame, name: str = "step", batch_bytes: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again: ends its lineage, survives lost executors.
+
+    ``batch_bytes`` bounds the batches that Python functions of the plan get.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with small_batches(spark, batch_bytes):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lociweave_path = path
+    return out
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: int | None) -> Iterator[None]:
+    """Arrow batches of at most so many bytes while a job runs."""
+    before = spark.conf.get(_BATCH, None)
+    if size:
+        spark.conf.set(_BATCH, str(size))
+    try:
+        yield
+    finally:
+        if size and before is None:
+            spark.conf.unset(_BATCH)
+        elif size:
+            spark.conf.set(_BATCH, before)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`cut` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_lociweave_path", None)
+        if path:
+            files, at = _path(df.sparkSession, path)
+            files.delete(at, True)
 
 
 def is_empty(df: DataFrame) -> bool:
