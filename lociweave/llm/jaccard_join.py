@@ -364,6 +364,57 @@ def forest(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
     return out
 
 
+def thinned(places: DataFrame) -> DataFrame:
+    """cell, rep, n, solo: the first cells. One of at most a block is cut into groups that pairs with enough
+    shared regions connect; members without such a partner in any cell have none.
+
+    places: lm, cell, rep, n, solo.
+    """
+    cells = places.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.min("solo").alias("solo"))
+    sizes = cells.groupBy("cell").agg((F.sum("n") <= BLOCK).alias("small"))
+    sized = materialize(cells.join(sizes, "cell"), "sized")
+    lists = places.groupBy("rep").agg(F.collect_list("lm").alias("lms"))  # of one document's set
+
+    def groups(rows: list[tuple]) -> Iterator[tuple]:
+        sets = [np.unique(r[4]).view(np.uint64) for r in rows]
+        n = np.array([r[2] for r in rows])
+        least = np.minimum(n[:, None], n[None, :])
+        fit = (overlaps(sets, sets) >= 1 + extra(least)) & (least * DEN >= np.maximum(n[:, None], n[None, :]) * NUM)
+        left = set(range(len(rows)))
+        while left:
+            first, todo, of = min(left), [min(left)], set()
+            while todo:
+                i = todo.pop()
+                if i in left:
+                    left.discard(i)
+                    of.add(i)
+                    todo += np.flatnonzero(fit[i]).tolist()
+            if len(of) > 1:
+                yield from ((rows[i][0], rows[first][1], *rows[i][1:4]) for i in sorted(of))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, []
+        for b in batches:
+            out = []
+            lms = b.column(4)
+            for i, row in enumerate(zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)):
+                if row[0] != key:
+                    out += groups(kept) if kept else []
+                    key, kept = row[0], []
+                kept.append((*row, lms[i].values.to_numpy()))
+            yield from batch_of(out)
+        yield from batch_of(list(groups(kept)) if kept else [])
+
+    def batch_of(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["old", "first", "rep", "n", "solo"])
+
+    rows = sized.where("small").hint("merge").join(lists.hint("merge"), "rep").select("cell", "rep", "n", "solo", "lms")
+    found = rows.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(tidy(run), "old long, first long, rep long, n long, solo boolean")
+    return found.select(F.xxhash64("old", "first").alias("cell"), "rep", "n", "solo").union(sized.where("not small").select("cell", "rep", "n", "solo"))
+
+
 LEVEL = "cell long, rep long, n long, own boolean, solo boolean, up long, d array<double>, near array<boolean>, s binary"
 
 
@@ -474,10 +525,10 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     left = materialize(members.join(enough, ["rep", "n"]), "members")
     discard(members)
     named = left.groupBy("lm").agg(F.max(F.struct("w", (-F.col("rep")).alias("m"))).alias("best"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    cells = left.join(named.select("lm", (-F.col("best.m")).alias("cell")), "lm")
-    cells = cells.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.lit(True).alias("own"), F.min("solo").alias("solo"), F.lit((1 << 63) - 1).alias("up"))
-    cells = materialize(cells, "cells")
+    places = materialize(left.join(named.select("lm", (-F.col("best.m")).alias("cell")), "lm").select("lm", "cell", "rep", "n", "solo"), "places")
     discard(left, enough)
+    cells = materialize(thinned(places).withColumn("own", F.lit(True)).withColumn("up", F.lit((1 << 63) - 1)), "cells")
+    discard(places)
 
     sets = materialize(stored_sets(own, cells.select("rep"), words), "stored")
     one_each = sets.repartition("node").groupBy("node", "k").agg(F.first("s").alias("s"))
