@@ -18,7 +18,8 @@ Voronoi region of its nearest one, and also to those whose pivot is at most twic
 triangle inequality no pair within the radius is separated. Members within the radius of a pivot are linked to
 it, and so to each other; of them only those whose distance is at most the radius below that of the nearest
 member outside go on. The regions are the cells of the next level. A cell of at most a block, of two
-documents, or one that its pivots could not shrink is joined at once, block by block.
+documents, or one that its pivots could not shrink is joined at once, block by block. (Before sets are read,
+larger cells are cut into bands of set sizes, and cells of at most a block into groups that share enough.)
 
 Nothing gathers a cell: members meet pivots in blocks of ``BLOCK`` shingles, a task holds two blocks at most.
 Sets of candidate documents are written once and joined by sorting, at every size; the texts they are made
@@ -48,8 +49,9 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Cells of the table of counts, and slices it is added up in.
 CELLS, SLICES = 1 << 22, 64
-#: Shingles of a block of sets; pivots of a cell that is larger; shrinking by less than this ends the recursion.
-BLOCK, PIVOTS, SHRINK = 1 << 16, 6, 0.8
+#: Shingles of a block of sets, and what each set counts besides; pivots of a cell that is larger; a cell that
+#: is not below this share of the one before is not divided further.
+BLOCK, ROW, PIVOTS, SHRINK = 1 << 18, 256, 6, 0.8
 #: Bits of the map of candidate documents, and slices it is made in.
 MAP_BITS, MAP_SLICES = 26, 256
 #: Bits of a region's number.
@@ -365,21 +367,33 @@ def forest(rows: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
 
 
 def thinned(places: DataFrame) -> DataFrame:
-    """cell, rep, n, solo: the first cells. One of at most a block is cut into groups that pairs with enough
-    shared regions connect; members without such a partner in any cell have none.
+    """cell, rep, n, solo: the first cells. One of more than a block is cut into bands of sizes: partners' sizes
+    differ by 4/3 at most, so each goes to its band and the next (a representative of several sets has no one size). One of at most a block is cut into groups
+    that pairs with enough shared regions connect; a member without such a partner leaves it.
 
     places: lm, cell, rep, n, solo.
     """
-    cells = places.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.min("solo").alias("solo"))
-    sizes = cells.groupBy("cell").agg((F.sum("n") <= BLOCK).alias("small"))
-    sized = materialize(cells.join(sizes, "cell"), "sized")
+    cells = places.groupBy("cell", "rep").agg(F.max("n").alias("n"), F.max("solo").alias("solo"))
+
+    def with_size(of: DataFrame) -> DataFrame:
+        return of.join(of.groupBy("cell").agg((F.sum(F.col("n") + ROW) <= BLOCK).alias("small")), "cell")
+
+    first = materialize(with_size(cells), "sized")
+    band = F.floor(F.log("n") / F.log(F.lit(1.01 * DEN / NUM)))  # partners' bands differ by one at most, however rounded
+    cut = first.where("not small and solo").withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("cell", "band").alias("cell"), "rep", "n", "solo")
+    odd = first.where("not small and not solo").select("cell")
+    whole = first.join(odd.distinct(), "cell", "left_semi").where("not small").select("cell", "rep", "n", "solo")
+    sized = materialize(first.where("small").union(with_size(cut)).union(whole.withColumn("small", F.lit(False))), "sized")
+    discard(first)
     lists = places.groupBy("rep").agg(F.collect_list("lm").alias("lms"))  # of one document's set
 
     def groups(rows: list[tuple]) -> Iterator[tuple]:
         sets = [np.unique(r[4]).view(np.uint64) for r in rows]
         n = np.array([r[2] for r in rows])
         least = np.minimum(n[:, None], n[None, :])
-        fit = (overlaps(sets, sets) >= 1 + extra(least)) & (least * DEN >= np.maximum(n[:, None], n[None, :]) * NUM)
+        fit = overlaps(sets, sets)
+        loose = ~np.array([r[3] for r in rows])  # of several sets
+        fit = (fit >= 1 + extra(least)) & (least * DEN >= np.maximum(n[:, None], n[None, :]) * NUM) | (fit > 0) & (loose[:, None] | loose[None, :])
         left = set(range(len(rows)))
         while left:
             first, todo, of = min(left), [min(left)], set()
@@ -472,7 +486,7 @@ def meet_level(rows: DataFrame) -> DataFrame:
 def dealt(cells: DataFrame, level: int) -> DataFrame:
     """The rows of cells (LEVEL without d and near, with or without s) by block, and pivots with every block."""
     chosen = [F.min(F.when(F.col("own") & F.col("solo"), F.struct(F.xxhash64("rep", F.lit(level), F.lit(k)).alias("h"), F.col("rep").alias("rep"))))["rep"].alias(f"p{k}") for k in range(PIVOTS)]
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.sum("n").alias("total"), F.max("up").alias("before"), *chosen)
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("c"), F.sum(F.col("n") + ROW).alias("total"), F.max("up").alias("before"), *chosen)
     at_once = (F.col("c") <= 2) | (F.col("total") <= BLOCK) | (F.col("total") > SHRINK * F.col("before")) | F.col("p0").isNull()
     blocks_ = F.ceil(F.col("total") / F.lit(BLOCK)).cast("int")
     sizes = sizes.select("cell", "total", F.when(F.col("c") <= 2, 1).otherwise(F.greatest(blocks_, F.lit(1))).alias("k"), at_once.alias("once"), F.array_distinct(F.array(*(f"p{k}" for k in range(PIVOTS)))).alias("pivots"))

@@ -59,6 +59,7 @@ ODD = [(900, None), (901, ""), (902, "  \n"), (None, "a b c"), (903, "A b C"), (
 @pytest.mark.parametrize("seed,block", [(32, 1 << 16), (3, 400), (2, 60)])
 def test_equals_all_pairs(spark, seed, block, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ROW", 0)
     rows = corpus(seed) + ODD
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, rep int, lm string")
     got = sorted(map(tuple, jaccard_join.join(docs).collect()), key=str)
@@ -68,6 +69,7 @@ def test_equals_all_pairs(spark, seed, block, monkeypatch):
 def test_recursion_of_three_levels(spark, monkeypatch):
     """Chains of near copies that share regions: several pivots' regions hold more than a block."""
     monkeypatch.setattr(jaccard_join, "BLOCK", 30)
+    monkeypatch.setattr(jaccard_join, "ROW", 0)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
     monkeypatch.setattr(jaccard_join, "SHRINK", 1.0)
     levels, deal = [], jaccard_join.dealt
