@@ -6,13 +6,15 @@ from all of its pages. Lines are compared after trimming spaces; blank lines are
 
 Counting sees two 64-bit hashes of a line in place of the line (a line is taken for another one only
 if both agree), once per page, and is summed per task before the shuffle. A host has less than
-(lines per page / MAX_RATIO) such lines, so they travel as one array per host. Pages are spread over
-``SALTS`` parts of their host where that array is joined by a shuffle, so a host with a third of all
-pages is not one task; Spark broadcasts the arrays only if it measures them as small.
+(lines per page / MAX_RATIO) such lines, so they travel as one array per host. Where that array is joined by
+a shuffle, the pages of a host with more than a ``SHARES``th of all pages are spread over parts of about so
+many pages: at most ``SHARES`` hosts are that large, so the list of them is broadcast. Pages are spread by a
+hash of the row and of the partition it is read in, so copies of one text, or null texts, aren't kept together.
 
 Defined results: null text stays null and counts as a page without lines; a text all of whose lines
 go is ''; a null host is a host of its own; repeated rows count as pages; an empty table gives
-none. All columns are kept; columns named like the internal ones (prefix ``_ld_``) would clash.
+none; very long texts are read whole. All columns are kept, whatever their names; only an input column called
+``_ld_dropped`` is an error, as the result has one.
 """
 
 from __future__ import annotations
@@ -20,42 +22,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import discard, free_names, materialize
+
 #: A line is boilerplate if over this share of its host's pages has it ...
 MAX_RATIO = 0.10
 #: ... and at least so many pages.
 MIN_PAGES = 5
-SALTS = 32
+#: Hosts with more than one of so many shares of all pages are spread.
+SHARES = 1000
 
 
 def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(F.trim(line)).alias("a"), F.xxhash64(F.lit("line"), F.trim(line)).alias("b"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """_ld_host, _ld_lines array<struct<a,b>>: each host's lines to drop, as hashes."""
-    pages = docs.select(F.col(f"`{host}`").alias("_ld_host"), F.col(f"`{text_col}`").alias("_ld_text"))
-    total = pages.groupBy("_ld_host").agg(F.count("*").alias("_ld_pages"))
-    lines = F.array_distinct(F.transform(F.filter(F.split("_ld_text", "\n"), lambda x: F.trim(x) != ""), _key))
-    each = pages.select("_ld_host", F.explode(lines).alias("_ld_line")).groupBy("_ld_host", "_ld_line").agg(F.count("*").alias("_ld_n"))
-    often = each.where(F.col("_ld_n") >= min_pages)
-    over = often.join(total.withColumnRenamed("_ld_host", "_ld_h"), F.col("_ld_host").eqNullSafe(F.col("_ld_h"))).where(F.col("_ld_n") > F.lit(max_ratio) * F.col("_ld_pages"))
-    return over.groupBy("_ld_host").agg(F.collect_list("_ld_line").alias("_ld_lines"))
+def boilerplate(pages: DataFrame, totals: DataFrame, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host, lines array<struct<a,b>>: each host's lines to drop, as hashes. pages: host, text; totals: host, pages."""
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key))
+    each = pages.select("host", F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    over = each.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", text_col: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """All columns, the text without boilerplate lines, and _ld_dropped long: how many went."""
-    salts = F.explode(F.array([F.lit(i) for i in range(SALTS)]))
-    found = boilerplate(docs, host, text_col, max_ratio, min_pages).withColumn("_ld_salt", salts).withColumnRenamed("_ld_host", "_ld_h").withColumnRenamed("_ld_salt", "_ld_s")
-    text = F.col(f"`{text_col}`")
-    own = docs.withColumn("_ld_salt", F.pmod(F.xxhash64(text), F.lit(SALTS)).cast("int"))
-    joined = own.join(found, F.col(f"`{host}`").eqNullSafe(F.col("_ld_h")) & (F.col("_ld_salt") == F.col("_ld_s")), "left")
-    lines = F.split(text, "\n")
-    kept = F.filter(lines, lambda x: (F.trim(x) == "") | ~F.array_contains("_ld_lines", _key(x)))
-    changed = F.col("_ld_lines").isNotNull()
-    out = joined.withColumn("_ld_kept", F.when(changed, kept))
-    out = out.withColumn("_ld_dropped", F.when(changed & text.isNotNull(), F.size(lines) - F.size("_ld_kept")).otherwise(0).cast("long"))
-    out = out.withColumn(text_col, F.when(F.col("_ld_dropped") > 0, F.array_join("_ld_kept", "\n")).otherwise(text))
-    return out.drop("_ld_salt", "_ld_h", "_ld_s", "_ld_lines", "_ld_kept")
+    if "_ld_dropped" in (c.lower() for c in docs.columns):
+        raise ValueError("column of the result: _ld_dropped")
+    big, spread, part, own_host, own_part, lines, kept = free_names(docs.columns, "big", "spread", "part", "own_host", "own_part", "lines", "kept")
+    site, text = F.col(f"`{host}`"), F.col(f"`{text_col}`")
+    pages = docs.select(site.alias("host"), text.alias("text"))
+    totals = materialize(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
+    share = max(1, (totals.agg(F.sum("pages")).first()[0] or 0) // SHARES)
+    parts = F.ceil(F.col("pages") / F.lit(share)).cast("int")
+    found = materialize(boilerplate(pages, totals, max_ratio, min_pages).join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).select("host", "lines", parts.alias("parts")), "boilerplate")
+    large = [(r.host, r.parts) for r in totals.where(F.col("pages") > share).select("host", parts.alias("parts")).collect()]  # at most SHARES rows
+    discard(totals)
+    hot = docs.sparkSession.createDataFrame(large, docs.select(site.alias(big), F.lit(1).alias(spread)).schema)
+    right = found.select(F.col("host").alias(own_host), F.col("lines").alias(lines), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(own_part))
+    row = F.xxhash64(text, site, F.spark_partition_id())
+    own = docs.withColumn(part, row).join(F.broadcast(hot), site.eqNullSafe(F.col(big)), "left").withColumn(part, F.pmod(F.col(part), F.coalesce(spread, F.lit(1))).cast("int"))
+    joined = own.join(right, site.eqNullSafe(F.col(own_host)) & (F.col(part) == F.col(own_part)), "left")
+    split = F.split(text, "\n")
+    changed = F.col(lines).isNotNull()
+    out = joined.withColumn(kept, F.when(changed, F.filter(split, lambda x: (F.trim(x) == "") | ~F.array_contains(lines, _key(x)))))
+    out = out.withColumn("_ld_dropped", F.when(changed & text.isNotNull(), F.size(split) - F.size(kept)).otherwise(0).cast("long"))
+    out = out.withColumn(text_col, F.when(F.col("_ld_dropped") > 0, F.array_join(kept, "\n")).otherwise(text))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "_ld_dropped")
 
 
 #: The same for DuckDB, over the view documents.

@@ -84,6 +84,28 @@ def test_lines(spark):
     assert line_dedup.drop_boilerplate(docs.limit(0)).count() == 0
 
 
+def test_lines_of_odd_tables(spark):
+    """Repeated rows, a very long text, columns named like internal ones."""
+    long = "\n".join(["Header", *(f"line {k}" for k in range(60_000))])
+    rows = [(1, "Header\nsame", "s")] * 30 + [(2, long, "s")] + [(3, None, "s")] * 40
+    docs = spark.createDataFrame([(*r, 1, 2, 3, 4) for r in rows], "doc_id long, text string, source string, part int, `LINES` int, _ld_h int, spread int")
+    got = line_dedup.drop_boilerplate(docs)
+    assert got.columns == [*docs.columns, "_ld_dropped"]
+    found = got.groupBy("doc_id", "text", "_ld_dropped", "part", "LINES", "_ld_h", "spread").count().collect()
+    assert sorted((r.doc_id, r["count"], r._ld_dropped, len(r.text) if r.text is not None else None, r.part, r.LINES, r._ld_h, r.spread) for r in found) == [(1, 30, 2, 0, 1, 2, 3, 4), (2, 1, 1, len(long) - 7, 1, 2, 3, 4), (3, 40, 0, None, 1, 2, 3, 4)]
+
+
+def test_substrings_of_odd_tables(spark):
+    """Columns named like internal ones, a very long text, repeated rows without an id."""
+    words = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, words), (2, "x " + words + " y"), (None, words), (None, words)]
+    docs = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _sd_key int, `at` int, starts int")
+    got = substring_dedup.dedup(docs)
+    assert {(r.doc_id, r._sd_words, r._sd_removed, r._sd_key, r["at"], r.starts) for r in got.collect()} == {(1, 120_000, 0, 1, 2, 3), (2, 120_002, 120_000, 1, 2, 3), (None, 120_000, 0, 1, 2, 3)}
+    with pytest.raises(ValueError):
+        substring_dedup.dedup(docs.withColumnRenamed("at", "_sd_kept"))
+
+
 # quality rules
 
 
