@@ -1,7 +1,10 @@
 """Corpus pipeline over ``documents``: five stages, each written as Parquet and read again.
 
 Each function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns
-of documents. Rows with a null doc_id stay through the filters and take no part in the joins.
+of documents. Rows with a null doc_id stay through the filters and take no part in the joins; null and empty
+texts stay to the end, as a piece each; rows with one doc_id stay or go together in the near-duplicate stage;
+an empty table gives no rows; very long texts are read whole. Only the stages' tables in the shared folder that
+the result reads are left when ``run`` returns, until the session ends.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lociweave.llm import jaccard_join, line_dedup, packing, substring_dedup, toxicity
 from lociweave.llm.queries import toxicity_model
-from lociweave.llm.runtime import materialize, table
+from lociweave.llm.runtime import discard, materialize, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,5 +65,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

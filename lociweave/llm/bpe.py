@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .runtime import doc_texts, ids_and_texts
+from .runtime import doc_texts, ids_and_texts, tidy
 
 #: Characters of a leaf, and bytes of a leaf inside one long match.
 LEAF_CHARS, LEAF_BYTES = 1024, 256
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for ids, texts in ids_and_texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([own.encode(x) for x in texts], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -163,7 +163,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([own.decode(x or []) for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
-    return tokens.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(run, "doc_id long, bytes binary")
+    return tokens.selectExpr(f"cast(`{id_col}` as long) doc_id", f"cast(`{ids_col}` as array<int>) ids").mapInArrow(tidy(run), "doc_id long, bytes binary")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,4 +180,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 b.append(hashlib.sha256(own.decode(tokens)).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), SCHEMA)

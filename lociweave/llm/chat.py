@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize
+from .runtime import materialize, tidy
 
 ASSISTANT = "assistant"
 _UNSAFE, _SAFE = re.compile(r"[\\<]"), re.compile(r"\\(.)", re.DOTALL)
@@ -116,7 +116,7 @@ def format_trees(messages: DataFrame, branches: int = 1) -> DataFrame:
             spans = pa.array([[{"start": s, "length": n} for s, n in m] for _, m in made], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([t for t, _ in made], pa.string()), spans], ["conv_id", "leaf_id", "branch", "score", "formatted", "loss_mask"])
 
-    return turns.select("conv_id", F.col("leaf").cast("long").alias("leaf_id"), "branch", "score", "turns").mapInArrow(run, FORMATTED)
+    return turns.select("conv_id", F.col("leaf").cast("long").alias("leaf_id"), "branch", "score", "turns").mapInArrow(tidy(run), FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return formatted.select("conv_id", "formatted", "loss_mask").mapInArrow(run, schema)
+    return formatted.select("conv_id", "formatted", "loss_mask").mapInArrow(tidy(run), schema)
 
 
 #: The same for DuckDB, over the view conversations (turn unique in a conversation).

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import doc_texts, ids_and_texts
+from .runtime import doc_texts, ids_and_texts, tidy
 
 DIMS = 1 << 13
 PER_LANGUAGE, TRAIN_CHARS = 600, 4000
@@ -149,4 +149,4 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             found = [own.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([v for v, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")

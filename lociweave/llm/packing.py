@@ -31,11 +31,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import doc_texts, ids_and_texts, materialize
+from .runtime import doc_texts, ids_and_texts, materialize, tidy
 
 CAPACITY = 2048
 #: Words a worker remembers the ids of; further words are encoded each time they occur.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 #: Pieces in a chunk within which ranks are counted by one sort.
 CHUNK_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                 a, b, c, d, e = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(e, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, PIECES)
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), PIECES)
 
 
 def fullest(counts: dict[int, int], room: int) -> Counter:
@@ -184,7 +184,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             copy, j = np.divmod(rank - row[:, 1], row[:, 2])
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 3] + copy), pa.array(row[:, 4] + j * length)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return placed.mapInArrow(run, f"{PIECES}, sequence_id long, offset long")
+    return placed.mapInArrow(tidy(run), f"{PIECES}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import doc_texts
+from .runtime import doc_texts, tidy
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 #: Rule -> bit. Bits are never given anew: a policy of any version reads any ledger.
@@ -92,7 +92,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             cols = zip(*rows, strict=True) if rows else [[]] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in cols)], ["doc_id", *MEASURES])
 
-    out = doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
+    out = doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = F.lit(0).cast("long")
     for rule, failed in failures().items():
         bits = bits.bitwiseOR(F.when(failed, F.lit(1 << RULES[rule])).otherwise(F.lit(0)).cast("long"))

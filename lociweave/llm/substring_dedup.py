@@ -14,7 +14,8 @@ share is not one task.
 
 Defined results: null text has no words; rows with a null doc_id are left as they are and hold nothing
 against others; rows with one doc_id don't count as repeats of each other; texts under 50 words stay;
-an empty table gives none. Other columns are kept (names with the prefix ``_sd_`` would clash).
+an empty table gives none; very long texts are read whole. Other columns are kept, whatever their names; an
+input column called ``_sd_words``, ``_sd_removed`` or ``_sd_kept`` is an error, as the result has these.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .runtime import discard, materialize
+from .runtime import discard, free_names, materialize, tidy
 from .shingles import NEVER, mix, room, sequences, sliding, word_hashes
 
 WINDOW = 50
@@ -105,7 +106,7 @@ def anchors(docs: DataFrame, depth: int, window: int) -> DataFrame:
             doc = np.searchsorted(bounds, at, side="right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(g[at].view(np.int64)), pa.array(ids[doc]), pa.array(keys[doc]), pa.array((at - bounds[doc]).astype(np.int32))], ["h", "doc_id", "key", "at"])
 
-    return docs.mapInArrow(run, "h long, doc_id long, key long, at int")
+    return docs.mapInArrow(tidy(run), "h long, doc_id long, key long, at int")
 
 
 def windows(docs: DataFrame, depth: int, window: int) -> DataFrame:
@@ -128,7 +129,7 @@ def windows(docs: DataFrame, depth: int, window: int) -> DataFrame:
             doc = np.searchsorted(bounds, at, side="right") - 1
             yield pa.RecordBatch.from_arrays([pa.array(one[at].view(np.int64)), pa.array(two[at].view(np.int64)), pa.array(ids[doc]), pa.array(keys[doc]), pa.array((at - bounds[doc]).astype(np.int32))], ["h", "h2", "doc_id", "key", "at"])
 
-    return docs.mapInArrow(run, "h long, h2 long, doc_id long, key long, at int")
+    return docs.mapInArrow(tidy(run), "h long, h2 long, doc_id long, key long, at int")
 
 
 def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,32 +147,41 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     text = F.col(f"`{text_col}`").cast("string")
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text")).where("doc_id is not null and text is not null")
     rows = materialize(anchors(own, 0, window), "anchors")
-    found = rows.join(_repeated(rows, ["h"]), "h")
-    some = materialize(own.join(_by_document(found, "at0"), ["doc_id", "key"]), "candidates")
-    discard(rows)
+    repeated = _repeated(rows, ["h"])
+    some = materialize(own.join(_by_document(rows.join(repeated, "h"), "at0"), ["doc_id", "key"]), "candidates")
+    discard(rows, repeated)
     # documents equal to an earlier one
     equal = materialize(some.groupBy("key", F.xxhash64(F.lit("text"), "text").alias("key2")).agg(F.min("doc_id").alias("first")), "equal")
     marked = some.join(equal, (some["key"] == equal["key"]) & (F.xxhash64(F.lit("text"), some["text"]) == equal["key2"])).select(some["*"], "first")
     marked = materialize(marked.select("doc_id", "key", "text", "at0", (F.col("first") < F.col("doc_id")).alias("copy")), "marked")
-    discard(some)
+    discard(some, equal)
     left = marked.where("not copy").select("doc_id", "key", "text", "at0").distinct()
     for depth in range(1, len(lengths) - 1):
-        left = materialize(left, "level")
-        rows = materialize(anchors(left, depth, window), "anchors")
-        left = left.join(_by_document(rows.join(_repeated(rows, ["h"]), "h"), f"at{depth}"), ["doc_id", "key"])
+        level = materialize(left, "level")
+        rows = materialize(anchors(level, depth, window), "anchors")
+        repeated = _repeated(rows, ["h"])
+        left = materialize(level.join(_by_document(rows.join(repeated, "h"), f"at{depth}"), ["doc_id", "key"]), "survivors")
+        discard(level, rows, repeated)
     rows = materialize(windows(left, len(lengths) - 1, window), "windows")
-    again = rows.join(_repeated(rows, ["h", "h2"]), ["h", "h2"]).where("first < doc_id")
+    discard(left)
+    repeated = _repeated(rows, ["h", "h2"])
+    again = rows.join(repeated, ["h", "h2"]).where("first < doc_id")
     found = _by_document(again, "starts").select("doc_id", "key", F.lit(False).alias("copy"), "starts")
-    return found.union(marked.where("copy").select("doc_id", "key", "copy", F.expr("array()").cast("array<int>")).distinct())
+    out = materialize(found.union(marked.where("copy").select("doc_id", "key", "copy", F.expr("array()").cast("array<int>")).distinct()), "repeats")
+    discard(rows, repeated, marked)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """All columns, _sd_words and _sd_removed long, and _sd_kept string: the words left, joined by a space."""
-    found = materialize(repeats(docs, id_col, text_col, window), "repeats").select(F.col("doc_id").alias("_sd_id"), F.col("key").alias("_sd_key"), F.col("copy").alias("_sd_copy"), F.col("starts").alias("_sd_starts"))
-    text = F.col(f"`{text_col}`").cast("string")
-    joined = docs.join(found, (F.col(f"`{id_col}`").cast("long") == F.col("_sd_id")) & (F.xxhash64(text) == F.col("_sd_key")), "left").withColumn("_sd_text", text)
     columns = docs.columns
-    inner = joined.select(*[F.col(f"`{c}`") for c in columns], "_sd_text", "_sd_copy", "_sd_starts")
+    if taken := {c.lower() for c in columns} & {"_sd_words", "_sd_removed", "_sd_kept"}:
+        raise ValueError(f"columns of the result: {sorted(taken)}")
+    i, k, c, p, t = free_names(columns, "id", "key", "copy", "starts", "text")
+    found = repeats(docs, id_col, text_col, window).select(F.col("doc_id").alias(i), F.col("key").alias(k), F.col("copy").alias(c), F.col("starts").alias(p))
+    text = F.col(f"`{text_col}`").cast("string")
+    joined = docs.join(found, (F.col(f"`{id_col}`").cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(k)), "left")
+    inner = joined.select(*[F.col(f"`{x}`") for x in columns], text.alias(t), c, p)
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
             yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(words, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], [*b.schema.names[:n], "_sd_words", "_sd_removed", "_sd_kept"])
 
     schema = StructType(list(docs.schema.fields)).add("_sd_words", "long").add("_sd_removed", "long").add("_sd_kept", "string")
-    return inner.mapInArrow(run, schema)
+    return inner.mapInArrow(tidy(run), schema)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

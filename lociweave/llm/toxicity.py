@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import blocks
-from .runtime import doc_texts
+from .runtime import doc_texts, tidy
 from .shingles import SPACES, word_hashes
 
 SPAN, HIDDEN = 16, 8
@@ -386,7 +386,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for ids, texts in blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(own.score(texts), pa.float64())], ["doc_id", "score"])
 
-    return doc_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return doc_texts(docs, id_col, text_col).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -402,4 +402,4 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", threshold:
             keep = [i for ids, texts in blocks(iter([only])) for i, s in zip(ids, own.score(texts), strict=True) if s < threshold]
             yield b.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
