@@ -14,12 +14,14 @@ never brought to one task.
 
 Defined results: null and empty texts are the single id 0; repeated rows are packed one by one
 (two rows with the same doc_id give the same piece numbers twice); an empty table gives no rows;
-other columns are ignored. Strings that look like special tokens are ordinary text.
+other columns are ignored; very long texts are read whole. Ids are those that the library gives for the text
+with add_special_tokens=False: a special token's string in a text is that token.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import zlib
 from collections import Counter
@@ -44,7 +46,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class WordIds(dict):
     """Word between spaces -> its ids as little-endian unsigned 32-bit bytes.
 
-    No token of the vocabulary crosses white space, so a text's ids are those of its words.
+    No token of the vocabulary crosses white space, so a text's ids are those of its words; texts that
+    hold an added token's string go to the library whole. So does every text if the file's normal form
+    isn't composed characters, single spaces and lower case, or its parts aren't matches of one pattern.
     """
 
     def __init__(self, path: str):
@@ -52,10 +56,14 @@ class WordIds(dict):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        made = json.loads(self.whole.to_str())
+        steps = [x["type"] for x in (made["normalizer"] or {}).get("normalizers", [])]
+        cuts = (made["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.by_words = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["invert"]
+        self.added = regex.compile("|".join(regex.escape(x["content"]) for x in made["added_tokens"]) or r"(?!)").search
         self.merge = self.whole.model.tokenize
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        self.split = regex.compile(cuts[0]["pattern"]["Regex"] if self.by_words else "").findall
         #: Normal form C and lower case change these characters one by one.
         self.plain = regex.compile(r"[\x21-\x7e¡-¬®-įĲ-ſ]+").fullmatch
         self.parts: dict[str, bytes] = {}
@@ -79,7 +87,9 @@ class WordIds(dict):
         return out
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if self.by_words and not self.added(text):
+            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 @functools.lru_cache(maxsize=2)
