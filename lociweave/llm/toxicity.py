@@ -9,7 +9,7 @@ have no entry and the input 0; windows of such words alone are equal inputs and
 
 Training is multiple-instance: a text marks only that some window of it is toxic, so in each round the
 windows that score highest stand for their text. It reads at most ``PER_LABEL`` texts of each label,
-chosen by a hash of their id; whole texts are read and scored.
+the first by a hash of their id (of rows with one id, the least text); whole texts are read and scored.
 
 Defined results: null and empty texts score 0; without training rows of both labels every text scores
 0; repeated rows give repeated rows; an empty table gives none; other columns are ignored.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .jaccard_join import blocks
@@ -37,6 +37,8 @@ E_WORD, E_CHAR = 6, 4
 INPUT = 2 + E_WORD + E_CHAR
 THRESHOLD = 0.7
 _SLOTS = 1 << 20
+#: Slices of keys that are judged one after the other in training.
+SLICES = 16
 
 #: Bytes as the network sees them: A-Z as a-z, white space as a space.
 _SEEN = np.arange(256, dtype=np.uint64)
@@ -55,8 +57,10 @@ class Entries:
         self.keys = keys
         self.slots = np.full(_SLOTS, -1, dtype=np.int32)
         slot = self._slot(keys)
-        _, firsts = np.unique(slot, return_index=True)  # of keys that meet in a slot one stays
-        self.slots[slot[firsts]] = firsts
+        self.slots[slot] = np.arange(len(keys))
+        meet = np.flatnonzero(np.bincount(slot, minlength=1)[slot] > 1) if len(keys) else np.empty(0, dtype=np.int64)
+        self.slots[slot[meet]] = -2  # of these slots keys are looked up in order
+        self.shared = meet[np.argsort(keys[meet], kind="stable")]
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -66,6 +70,10 @@ class Entries:
         at = self.slots[self._slot(keys)]
         if not len(self.keys):
             return at
+        met = np.flatnonzero(at == -2)
+        if len(met):
+            own = self.shared[np.minimum(np.searchsorted(self.keys[self.shared], keys[met]), len(self.shared) - 1)]
+            at[met] = own
         at[(at >= 0) & (self.keys[at] != keys)] = -1
         return at
 
@@ -108,6 +116,15 @@ def telling(own: list[np.ndarray], labels: np.ndarray, least: float = 24.0) -> t
     ``least`` is the log-likelihood ratio (G squared) from which on a key counts; it is far above
     what the best of a million keys without meaning reaches.
     """
+    found, g2, odds = (np.concatenate(x) for x in zip(*(_tell([k[k % np.uint64(SLICES) == r] for k in own], labels) for r in range(SLICES)), strict=True))
+    keep = np.flatnonzero(g2 >= least)
+    keep = keep[np.argsort(-g2[keep], kind="stable")][:ENTRIES]
+    keep = keep[np.argsort(found[keep])]
+    return found[keep], odds[keep].astype(np.float32)
+
+
+def _tell(own: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, G squared, log odds); a slice of the keys at a time, which bounds the memory."""
     flat = np.concatenate(own)
     label = np.repeat(labels, [len(k) for k in own])
     found, inverse = np.unique(flat, return_inverse=True)
@@ -118,9 +135,7 @@ def telling(own: list[np.ndarray], labels: np.ndarray, least: float = 24.0) -> t
     out_pos, out_neg, absent = p - pos, (t - p) - neg, np.maximum(t - every, 1e-300)
     g2 = 2 * (part(pos, p, every) + part(neg, t - p, every) + part(out_pos, p, absent) + part(out_neg, t - p, absent))
     odds = np.clip(np.log((pos + 0.5) / (p + 1)) - np.log((neg + 0.5) / (t - p + 1)), -4, 6)
-    keep = np.flatnonzero(g2 >= least)
-    keep = np.sort(keep[np.argsort(-g2[keep], kind="stable")][:ENTRIES])
-    return found[keep], odds[keep].astype(np.float32)
+    return found, g2, odds
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,7 +245,7 @@ class Model:
 
     @staticmethod
     def windows(bounds: np.ndarray, at: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(places (n, SPAN), text of each window) of the windows with a known input, of all that begin at a
+        """(first words, text of each window) of the windows with a known input, of all that begin at a
         word and end within the text (a shorter text has one); and the texts with others."""
         sizes, n = np.diff(bounds), int(bounds[-1])
         each = np.where(sizes > 0, np.maximum(1, sizes - SPAN + 1), 0)
@@ -242,9 +257,13 @@ class Model:
         seen = np.concatenate([[0], np.cumsum(alive)])
         some = seen[np.minimum(start + SPAN, bounds[text + 1])] > seen[start]
         plain = np.unique(text[~some])
-        start, text = start[some], text[some]
-        places = start.astype(np.int32)[:, None] + np.arange(SPAN, dtype=np.int32)
-        return np.where(places < bounds[text + 1].astype(np.int32)[:, None], places, np.int32(n)), text, plain
+        return start[some], text[some], plain
+
+    @staticmethod
+    def places(bounds: np.ndarray, start: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """Words (n, SPAN) of some windows; past the text, the place after the last of all."""
+        at = start[:, None] + np.arange(SPAN)
+        return np.where(at < bounds[text + 1][:, None], at, bounds[-1])
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         """Each text's highest logit; -inf without words."""
@@ -254,10 +273,10 @@ class Model:
         if not n:
             return out
         x = self.vectors(n, at, g, owner)
-        places, text, plain = self.windows(bounds, at, owner)
+        start, text, plain = self.windows(bounds, at, owner)
         out[plain] = self.plain
-        for k in range(0, len(places), 4096):
-            np.maximum.at(out, text[k : k + 4096], self.net.forward(x[places[k : k + 4096]]))
+        for k in range(0, len(start), 4096):
+            np.maximum.at(out, text[k : k + 4096], self.net.forward(x[self.places(bounds, start[k : k + 4096], text[k : k + 4096])]))
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -282,7 +301,8 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
     model.gram_vectors = (rng.standard_normal((len(model.gram_odds), E_CHAR)) * 0.1).astype(np.float32)
     net = model.net = Network(seed)
     bounds, at, g, owner = model.all_inputs(texts)
-    places, text, _ = model.windows(bounds, at, owner)
+    start, text, _ = model.windows(bounds, at, owner)
+    words_of = lambda which: model.places(bounds, start[which], text[which])
     by_owner = np.argsort(owner, kind="stable")
     g, owner = g[by_owner], owner[by_owner]
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in {**net.p, "E": model.word_vectors, "C": model.gram_vectors}.items()}
@@ -296,8 +316,8 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
 
     for turn in range(rounds):
         value = [np.zeros(0)]
-        for k in range(0, len(places), 4096):
-            x = model.vectors_of(places[k : k + 4096], at, g, owner)
+        for k in range(0, len(start), 4096):
+            x = model.vectors_of(words_of(slice(k, k + 4096)), at, g, owner)
             value.append(net.forward(x) if turn else x[:, :, :2].sum(axis=(1, 2)))
         value = np.concatenate(value)
         order = np.lexsort((-value, text))
@@ -312,7 +332,7 @@ def train(texts: list[bytes], labels: list[int], rounds: int = 6, seed: int = 5)
                 if not len(part):
                     continue
                 step += 1
-                at_words = places[picked[part]]
+                at_words = words_of(picked[part])
                 x = model.vectors_of(at_words, at, g, owner)
                 x = np.concatenate([x, np.zeros((4, SPAN, INPUT), dtype=np.float32)])  # windows of plain words
                 want = np.append(target[part], np.zeros(4))
@@ -366,14 +386,11 @@ Model.vectors_of, Model.calibrate = _vectors_of, _calibrate
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Train on a bounded sample of the labelled rows given (held-out rows must be gone already)."""
     rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    n = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return Model()
-    share = F.when(F.col("y") == 1, F.lit(int(1e6 * min(1.0, per_label / n[1])))).otherwise(F.lit(int(1e6 * min(1.0, 2 * per_label / n[0]))))
-    picked = rows.where(F.pmod(F.xxhash64("i", F.lit("toxicity")), F.lit(1_000_000)) < share).limit(6 * per_label)
+    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i", F.lit("toxicity")), "i"))
+    picked = rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("y") == 1, per_label).otherwise(2 * per_label)).where(F.col("place") <= 2 * per_label).select("i", "y")
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
-    found = own.join(F.broadcast(picked), "i").limit(6 * per_label).collect()  # at most 6 * per_label ids
-    found.sort(key=lambda r: (r.i, r.t))
+    found = own.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()  # at most 3 * per_label ids
+    found.sort(key=lambda r: r.i)
     return train([r.t.encode() for r in found], [r.y for r in found])
 
 
