@@ -5,11 +5,14 @@ classes, are trained here (dual coordinate descent on the squared hinge loss): b
 between the languages of each family. The family with most votes wins (ties: the larger sum of
 margins), then the language likewise; the score is the product of the two steps' logistic margins.
 
-Training reads at most ``PER_LANGUAGE`` documents of each language value, chosen by a hash of their
-id, and ``TRAIN_CHARS`` characters of each; whole texts are classified.
+Training reads the whole texts of at most ``PER_LANGUAGE`` documents of each language value and of about
+``SAMPLE`` in all (at least ``LEAST`` of each), the first by a hash of their id; the counts are made on the executors. No value is left
+out: values that ``FAMILIES`` doesn't name are families of their own up to ``OWN_FAMILIES`` of them, more are
+put into families by their mean counts. Whole texts are classified.
 
 Defined results: null text or one without a letter is ``und`` with score 0; without any training
-row every text is ``und``; repeated rows give repeated rows; other columns are ignored.
+row (an empty table) every text is ``und``; ties go to the name that is first in order; repeated rows give
+repeated rows; very long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +23,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .runtime import doc_texts, ids_and_texts, tidy
 
 DIMS = 1 << 13
-PER_LANGUAGE, TRAIN_CHARS = 600, 4000
+PER_LANGUAGE, SAMPLE, LEAST = 600, 6000, 8
+#: Unnamed values that are families of their own.
+OWN_FAMILIES = 12
 UNKNOWN = "und"
 #: Closely related languages; a value not named here is a family of its own.
 FAMILIES = {
@@ -102,16 +107,36 @@ class Pairs:
         return self.names[k], float(1 / (1 + np.exp(-4 * np.clip(least, -8, 8))))
 
 
+def grouped(x: np.ndarray, y: list[str], names: list[str]) -> dict[str, str]:
+    """A family for each of some languages: its own if they are few, else that of the nearest seed (the
+    languages farthest from each other, about the square root of their number), by mean counts."""
+    if len(names) <= OWN_FAMILIES:
+        return {v: v for v in names}
+    own = np.array(y)
+    mean = np.array([x[own == v].mean(axis=0) for v in names])
+    mean /= np.linalg.norm(mean, axis=1, keepdims=True)
+    near, seeds = mean @ mean[0], [0]
+    while len(seeds) < max(OWN_FAMILIES, round(len(names) ** 0.5)):
+        seeds.append(int(np.argmin(near)))
+        near = np.maximum(near, mean @ mean[seeds[-1]])
+    best = np.argmax(mean @ mean[seeds].T, axis=1)
+    return {v: f"like {names[seeds[k]]}" for v, k in zip(names, best.tolist(), strict=True)}
+
+
 class Model:
     def __init__(self, rows: list[tuple[str, str]], families: dict[str, tuple[str, ...]] = FAMILIES):
         """rows: (text, lang)."""
-        family = {v: f for f, names in families.items() for v in names}
         found = [(x, v) for t, v in rows if (x := counts(t)) is not None]
+        self.train(np.array([a for a, _ in found]), [v for _, v in found], families)
+
+    def train(self, x: np.ndarray, y: list[str], families: dict[str, tuple[str, ...]] = FAMILIES) -> None:
+        """x: counts of each text; y: its language."""
         self.families: Pairs | None = None
         self.within: dict[str, Pairs] = {}
-        if found:
-            x, y = np.array([a for a, _ in found]), [v for _, v in found]
-            f = [family.get(v, v) for v in y]
+        if len(y):
+            family = {v: f for f, names in families.items() for v in names}
+            family |= grouped(x, y, sorted(set(y) - set(family)))
+            f = [family[v] for v in y]
             self.families = Pairs(x, f)
             for name in self.families.names:
                 own = [i for i, v in enumerate(f) if v == name]
@@ -128,15 +153,32 @@ class Model:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Train on a bounded sample of the rows given (held-out rows must be gone already)."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.substring(F.col(f"`{text_col}`"), 1, TRAIN_CHARS).alias("t"), F.col(f"`{lang_col}`").cast("string").alias("v")).where("v is not null and t is not null")
-    n = {r.v: r.n for r in rows.groupBy("v").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "v").limit(500).collect()}
-    if not n:
-        return Model([])
-    share: Column = F.lit(0)
-    for v, k in n.items():
-        share = F.when(F.col("v") == v, F.lit(int(1e6 * min(1.0, per_language / k)))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < share).limit(2 * per_language * len(n)).collect()
-    return Model([(r.t, r.v) for r in sorted(picked, key=lambda r: (r.i is None, r.i or 0, r.t))])
+    rows = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"), F.col(f"`{lang_col}`").cast("string").alias("v")).where("v is not null and t is not null")
+    languages = rows.agg(F.approx_count_distinct("v", 0.02)).first()[0]
+    model = Model([])
+    if not languages:
+        return model
+    most = min(per_language, max(LEAST, SAMPLE // languages))
+    h = F.xxhash64("i", F.lit("language"))
+    of = Window.partitionBy("v").orderBy("h", "k")
+    first = rows.select("v", h.alias("h"), F.xxhash64("t").alias("k")).withColumn("place", F.row_number().over(of)).where(F.col("place") <= most)
+    chosen = first.select("v", "h", "k").distinct()  # at most ``most`` rows a language
+    picked = rows.withColumn("h", h).withColumn("k", F.xxhash64("t")).join(F.broadcast(chosen), ["v", "h", "k"], "left_semi").dropDuplicates(["v", "h", "k"]).select("v", "h", "k", "t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                x = counts(b.column(3)[i].as_py())
+                if x is not None:
+                    at = np.flatnonzero(x)
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 1) for c in b.columns[:3]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([x[at].tobytes()], pa.binary())], ["v", "h", "k", "at", "x"])
+
+    found = sorted(picked.mapInArrow(tidy(run), "v string, h long, k long, at binary, x binary").collect(), key=lambda r: (r.h, r.k, r.v))
+    x = np.zeros((len(found), DIMS + 1), dtype=np.float32)
+    for i, r in enumerate(found):
+        x[i, np.frombuffer(r.at, "<u2")] = np.frombuffer(r.x, np.float32)
+    model.train(x, [r.v for r in found])
+    return model
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

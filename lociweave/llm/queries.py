@@ -22,7 +22,7 @@ def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
-    fold = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))  # a null id has no remainder
     return found.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -57,7 +57,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     found = langid.predict(docs, langid.fit(docs.where(~fold)))
     return found.select("doc_id", fold.alias("held_out"), "lang_pred", "score")
 

@@ -144,9 +144,11 @@ def test_topk(spark):
         if q % 50 == 0:
             scores = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in own if i != q and len(b) == len(a))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:5])]
-    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, block=40, query_block=3).collect()))
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, block=40).collect()))
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    named = df.toDF("id", "vec_id", "b")
+    assert sorted(map(tuple, topk.search(named, F.col("vec_id") % 50 == 0, id_col="id", vec_col="vec_id", block=1000).collect())) == sorted(want)
 
 
 def test_topk_of_large_components(spark):
@@ -197,6 +199,22 @@ def test_language(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_trains_on_whole_texts_and_all_languages(spark):
+    rng = random.Random(2)
+    tail = {"aa": "zorbu quilx ", "bb": "mneta frosp "}
+    rows = [(i, "1234567890 " * 2000 + tail[v] * 20, v) for i in range(24) for v in [("aa", "bb")[i % 2]]]
+    rows += rows[:3] + [(500, rows[0][1], "bb"), (None, rows[1][1], "bb")]  # repeated rows, a tie of texts, no id
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, lang string, h long, place int")
+    model = langid.fit(docs)
+    assert model.predict(tail["aa"])[0] == "aa" and model.predict(tail["bb"])[0] == "bb"
+    assert langid.predict(docs, model).count() == len(rows)
+    assert langid.predict(docs, langid.fit(docs.limit(0))).select("lang_pred").distinct().collect()[0][0] == "und"
+    letters = [chr(0x4E00 + k) for k in range(700)]
+    many = [(f"{letters[k]}{letters[k + 1]} " * 5 + letters[k // 25], f"l{k:03}") for k in range(600) for _ in range(2)]
+    model = langid.Model(many)
+    assert sum(model.predict(t)[0] == v for t, v in many[::20]) >= 57
+
+
 # toxicity
 
 
@@ -273,6 +291,12 @@ def test_toxicity_trains_on_whole_texts(spark):
     assert model.words.find(words)[0] >= 0
 
 
+def test_toxicity_finds_all_entries():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 16_384, dtype=np.uint64)
+    known = toxicity.Entries(keys)
+    assert len(known.shared) and (known.find(keys) == np.arange(len(keys))).all() and (known.find(keys + np.uint64(1)) == -1).all()
+
+
 def test_toxicity_edges(spark, model):
     docs = spark.createDataFrame([(1, None, 0.5), (2, "", 0.5), (3, "idiot clown idiot", 0.5), (3, "idiot clown idiot", 0.5), (None, "talumi", 0.5)], "doc_id long, text string, score double")
     got = sorted((r.doc_id or 0, r.score >= 0.7) for r in toxicity.score(docs, model).collect())
