@@ -23,10 +23,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import doc_texts, ids_and_texts, tidy
+from .runtime import doc_texts, first_by_hash, ids_and_texts, tidy
 
 DIMS = 1 << 13
 PER_LANGUAGE, SAMPLE, LEAST = 600, 6000, 8
@@ -160,9 +160,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         return model
     most = min(per_language, max(LEAST, SAMPLE // languages))
     h = F.xxhash64("i", F.lit("language"))
-    of = Window.partitionBy("v").orderBy("h", "k")
-    first = rows.select("v", h.alias("h"), F.xxhash64("t").alias("k")).withColumn("place", F.row_number().over(of)).where(F.col("place") <= most)
-    chosen = first.select("v", "h", "k").distinct()  # at most ``most`` rows a language
+    chosen = first_by_hash(rows.select("v", h.alias("h"), F.xxhash64("t").alias("k")), "v", ["h", "k"], F.lit(most)).distinct()  # at most ``most`` rows a language
     picked = rows.withColumn("h", h).withColumn("k", F.xxhash64("t")).join(F.broadcast(chosen), ["v", "h", "k"], "left_semi").dropDuplicates(["v", "h", "k"]).select("v", "h", "k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

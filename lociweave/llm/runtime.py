@@ -9,12 +9,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..durable import cut, discard
 
-__all__ = ["WORD", "discard", "doc_texts", "free_names", "ids_and_texts", "materialize", "partitions", "table", "tidy"]
+__all__ = ["WORD", "discard", "doc_texts", "first_by_hash", "free_names", "ids_and_texts", "materialize", "partitions", "table", "tidy"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,6 +67,20 @@ def free_names(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def first_by_hash(rows: DataFrame, group: str, order: list[str], most: Column) -> DataFrame:
+    """At most so many rows of each group: the first by ``order``, whose first column is a hash.
+
+    Rows with larger hashes than about twice as many have go before any sort, so no task sees a whole group.
+    The groups are few (one row each is broadcast).
+    """
+    n, place = free_names(rows.columns, "n", "place")
+    sizes = rows.groupBy(group).agg(F.count("*").alias(n))
+    part = F.shiftrightunsigned(order[0], 32) / F.lit(float(1 << 32))
+    near = rows.join(F.broadcast(sizes), group).where(part * F.col(n) <= 2 * most + 40)
+    placed = near.withColumn(place, F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    return placed.where(F.col(place) <= most).select(*rows.columns)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -21,11 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard_join import blocks
-from .runtime import doc_texts, tidy
+from .runtime import doc_texts, first_by_hash, tidy
 from .shingles import SPACES, word_hashes
 
 SPAN, HIDDEN = 16, 8
@@ -386,8 +386,7 @@ Model.vectors_of, Model.calibrate = _vectors_of, _calibrate
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
     """Train on a bounded sample of the labelled rows given (held-out rows must be gone already)."""
     rows = labels.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{label_col}`").cast("int").alias("y")).where("i is not null and y in (0, 1)").groupBy("i").agg(F.max("y").alias("y"))
-    place = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("i", F.lit("toxicity")), "i"))
-    picked = rows.withColumn("place", place).where(F.col("place") <= F.when(F.col("y") == 1, per_label).otherwise(2 * per_label)).where(F.col("place") <= 2 * per_label).select("i", "y")
+    picked = first_by_hash(rows.withColumn("h", F.xxhash64("i", F.lit("toxicity"))), "y", ["h", "i"], F.when(F.col("y") == 1, per_label).otherwise(2 * per_label)).select("i", "y")
     own = docs.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
     found = own.join(F.broadcast(picked), "i").groupBy("i", "y").agg(F.min("t").alias("t")).collect()  # at most 3 * per_label ids
     found.sort(key=lambda r: r.i)
