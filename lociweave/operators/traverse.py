@@ -37,7 +37,7 @@ def bfs_order(edges: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
 
 
 def bfs_order_capped(edges: DataFrame, seeds: list[int], direction: str, width: int) -> list[int]:
-    """Breadth-first order that drops pushes onto a full queue: sequential by nature, so it runs in the
+    """Breadth-first order that queues every seed and drops later pushes onto a full queue: sequential by nature, so it runs in the
     driver over a graph that must be small (an error beyond a million edges)."""
     from collections import defaultdict, deque
 
@@ -47,10 +47,7 @@ def bfs_order_capped(edges: DataFrame, seeds: list[int], direction: str, width:
     after = defaultdict(list)
     for r in rows:
         after[r.node].append(r.next)
-    queue, out = deque(), []
-    for s in seeds:
-        if len(queue) < width:
-            queue.append(s)
+    queue, out = deque(seeds), []
     while queue:
         node = queue.popleft()
         out.append(node)

@@ -102,8 +102,8 @@ def g05_coals(spark, sf_dir):
 
 
 @query("""SELECT 'num_nodes' AS metric, count(*) AS value FROM nodes UNION ALL SELECT 'num_edges', count(*) FROM edges UNION ALL SELECT 'num_samples', count(*) FROM samples
-UNION ALL SELECT 'num_mutations', count(*) FROM mutations WHERE mut_id < 200 UNION ALL SELECT 'num_populations', count(*) FROM nation
-UNION ALL SELECT 'first_position', min(position) FROM mutations WHERE mut_id < 200 UNION ALL SELECT 'end_position', max(position) + 1 FROM mutations WHERE mut_id < 200""", tree=True)
+UNION ALL SELECT 'num_mutations', count(*) FROM mutations UNION ALL SELECT 'num_populations', count(*) FROM nation
+UNION ALL SELECT 'first_position', min(position) FROM mutations UNION ALL SELECT 'end_position', max(position) + 1 FROM mutations""", tree=True)
 def g08_stats(spark, sf_dir):
     return stats.graph_statistics(star.hierarchy(spark, sf_dir))
 
@@ -416,8 +416,8 @@ def _graph_with_copies(spark, sf_dir):
     return g.having(mutations=g.mutations.unionByName(copy), mutation_node=g.mutation_node.unionByName(at))
 
 
-@query(REACH + """, m2 AS (SELECT mut_id, position, ref, alt FROM mutations WHERE mut_id < 200 UNION ALL SELECT mut_id + 1000, position, ref, alt FROM mutations WHERE mut_id < 200 AND mut_id % 10 = 1),
-a2 AS (SELECT mut_id, node_id FROM mutation_node UNION ALL SELECT mut_id + 999, node_id FROM mutation_node WHERE mut_id % 10 = 2),
+@query(REACH + """, top AS (SELECT max(mut_id) AS top FROM mutations), m2 AS (SELECT mut_id, position, ref, alt FROM mutations UNION ALL SELECT mut_id + top + 1, position, ref, alt FROM mutations, top WHERE mut_id % 10 = 1),
+a2 AS (SELECT mut_id, node_id FROM mutation_node UNION ALL SELECT mut_id + top, node_id FROM mutation_node, top WHERE mut_id % 10 = 2),
 k AS (SELECT DISTINCT position, ref, alt, node_id FROM m2 JOIN a2 USING (mut_id) WHERE node_id IS NOT NULL)
 SELECT position, ref, alt, sample_idx, sum(down.n)::BIGINT AS n_paths FROM k JOIN down ON seed = node_id JOIN samples ON node = sample_idx GROUP BY 1, 2, 3, 4""", tree=True, recursive=True)
 def f09_ensure_unique(spark, sf_dir):
@@ -451,7 +451,7 @@ def _mapped(spark, sf_dir):
     return edit.map_mutations(edit.build(x, m, star.samples(spark, sf_dir)), new_m, new_x)
 
 
-MERGED = "SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations USING (mut_id) WHERE mut_id < 120"
+MERGED = "SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations USING (mut_id)"
 
 
 def _keyed(g) -> DataFrame:
@@ -468,7 +468,7 @@ def f12_merge_by_samples(spark, sf_dir):
     return _keyed(edit.merge(_two_graphs(spark, sf_dir), by_samples=True))
 
 
-@query("SELECT mut_id, sample_idx FROM carriers WHERE mut_id < 200")
+@query("SELECT mut_id, sample_idx FROM carriers")
 def f13_reduce(spark, sf_dir):
     g = edit.build(star.carriers(spark, sf_dir), star.mutations(spark, sf_dir), star.samples(spark, sf_dir))
     return prop.carriers(edit.reduce_edges(g, least=2, share=0.1)[0]).select("mut_id", "sample_idx")
@@ -510,24 +510,24 @@ def f23_windows_cm(spark, sf_dir):
     return windows.by_cm(spark.createDataFrame(MAP, "position long, cm double"), 1000, 11001, 0.5, 2)
 
 
-@query("SELECT i AS window_id, mut_id FROM range(36) t(i) JOIN mutations ON position >= 1000 + i * 250 AND position < 1500 + i * 250")
+@query("+ s AS (SELECT min(position) AS first FROM mutations) SELECT (position - first) // 250 - k AS window_id, mut_id FROM mutations, s, range(2) r(k) WHERE (position - first) // 250 >= k")
 def f24_mutations_in_window(spark, sf_dir):
     m = star.mutations(spark, sf_dir)
     return windows.assign(m, windows.by_bp(spark, *_span(m), 500, 2))
 
 
-@query("SELECT (position - 1000) // 2000 AS window_id, mut_id, sample_idx FROM carriers JOIN mutations USING (mut_id) WHERE position < 11000")
+@query("+ s AS (SELECT min(position) AS first FROM mutations) SELECT (position - first) // 2000 AS window_id, mut_id, sample_idx FROM carriers JOIN mutations USING (mut_id), s")
 def f25_split(spark, sf_dir):
     m = star.mutations(spark, sf_dir)
     return windows.split(star.carriers(spark, sf_dir), m, windows.by_bp(spark, *_span(m), 2000))
 
 
-@query("SELECT mut_id, sample_idx FROM carriers WHERE mut_id < 120")
+@query("SELECT mut_id, sample_idx FROM carriers")
 def f26_map_mutations(spark, sf_dir):
     return prop.carriers(_mapped(spark, sf_dir)[0]).select("mut_id", "sample_idx")
 
 
-@query("SELECT mut_id, sum(1)::BIGINT AS n_carriers FROM carriers WHERE mut_id >= 60 AND mut_id < 120 GROUP BY 1")
+@query("+ s AS (SELECT (min(position) + max(position) + 1) // 2 AS middle FROM mutations) SELECT mut_id, sum(1)::BIGINT AS n_carriers FROM carriers JOIN mutations USING (mut_id), s WHERE position >= middle GROUP BY 1")
 def f27_mapping_stats(spark, sf_dir):
     return _mapped(spark, sf_dir)[1].select("mut_id", "n_carriers")
 
@@ -545,14 +545,14 @@ def f29_distinct_sets(spark, sf_dir):
 
 # input transforms
 
-SITE = "x AS (SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations USING (mut_id) WHERE mut_id < 400)"
+SITE = "x AS (SELECT position, ref, alt, sample_idx FROM carriers JOIN mutations USING (mut_id))"
 
 
 def _rows(spark, sf_dir) -> DataFrame:
     return star.carriers(spark, sf_dir).join(star.mutations(spark, sf_dir), "mut_id").select("position", "ref", "alt", "sample_idx")
 
 
-@query("""SELECT mut_id // 2 AS position, 'R' AS ref, CASE mut_id % 2 WHEN 0 THEN 'A' ELSE 'C' END AS alt, sample_idx FROM carriers WHERE mut_id < 400""")
+@query("""SELECT mut_id // 2 AS position, 'R' AS ref, CASE mut_id % 2 WHEN 0 THEN 'A' ELSE 'C' END AS alt, sample_idx FROM carriers""")
 def b01_explode(spark, sf_dir):
     x = star.carriers(spark, sf_dir)
     return transforms.explode_alleles(x.select(F.expr("mut_id div 2").alias("position"), F.lit("R").alias("ref"), F.lit("A,C").alias("alts"), "sample_idx", (F.col("mut_id") % 2 + 1).alias("allele")))
@@ -611,7 +611,7 @@ def b12_populations(spark, sf_dir):
     return transforms.assign_populations(people.select("individual_idx", "individual_id"), people.select("individual_id", "population"))[0].withColumn("pop_id", F.col("pop_id").cast("long"))
 
 
-@query("""+ a AS (SELECT mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 0 AND mut_id < 400), b AS (SELECT mut_id - 1 AS mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 1 AND mut_id < 400)
+@query("""+ a AS (SELECT mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 0), b AS (SELECT mut_id - 1 AS mut_id, sample_idx FROM carriers WHERE mut_id % 2 = 1)
 SELECT a.mut_id, a.sample_idx FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.mut_id = a.mut_id AND b.sample_idx = a.sample_idx)""")
 def f35_nested_mutations(spark, sf_dir):
     x = star.carriers(spark, sf_dir)
@@ -627,7 +627,7 @@ def phenotype(spark, sf_dir) -> DataFrame:
     return star.read(spark, sf_dir, "customer").groupBy(F.expr("c_custkey div 2").alias("individual_idx")).agg(F.avg("c_acctbal").alias("y"))
 
 
-@query(f"""+ {PHENO}, f AS (SELECT m.mut_id, coalesce(dosage, 0) AS x, y FROM (SELECT DISTINCT mut_id FROM carriers WHERE mut_id < 300) m CROSS JOIN ph LEFT JOIN dosages d ON d.mut_id = m.mut_id AND d.individual_idx = ph.individual_idx)
+@query(f"""+ {PHENO}, f AS (SELECT m.mut_id, coalesce(dosage, 0) AS x, y FROM (SELECT DISTINCT mut_id FROM carriers) m CROSS JOIN ph LEFT JOIN dosages d ON d.mut_id = m.mut_id AND d.individual_idx = ph.individual_idx)
 SELECT mut_id, sum(x)::BIGINT AS n_carried, round(regr_slope(y, x), 4) AS beta, round(regr_intercept(y, x), 4) AS b0, round(regr_r2(y, x), 4) AS r2 FROM f GROUP BY 1""")
 def i01_gwas(spark, sf_dir):
     out = assoc.linear_regression(star.individual_counts(spark, sf_dir), star.mutations(spark, sf_dir), phenotype(spark, sf_dir))

@@ -90,5 +90,5 @@ edges AS (SELECT n + c_nationkey * 5 + seg AS parent, c_custkey AS child FROM cu
   UNION ALL SELECT n + 150 + n_regionkey, n + 125 + n_nationkey FROM nation, size),
 nodes AS (SELECT parent AS node_id FROM edges UNION SELECT child FROM edges),
 mutation_node AS (SELECT p_partkey AS mut_id, CASE WHEN p_partkey % 13 <> 0 THEN n + 125 + p_partkey * 7 % 30 END AS node_id,
-  CASE WHEN p_partkey % 4 = 0 THEN n + 125 + p_partkey * 3 % 25 END AS miss_node_id FROM part, size WHERE p_partkey < 200)
+  CASE WHEN p_partkey % 4 = 0 THEN n + 125 + p_partkey * 3 % 25 END AS miss_node_id FROM part, size)
 """
