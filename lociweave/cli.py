@@ -1,6 +1,6 @@
 """Command line: construct, process, split, merge and subset graphs.
 
-    python -m lociweave.cli construct in.vcf out.graph [--range A B] [--binary] [--flip] [--populations FILE] [--reduce N]
+    python -m lociweave.cli construct in.vcf out.graph [--range A B] [--binary] [--flip] [--populations FILE] [--reduce N] [--ignore-missing]
     python -m lociweave.cli process freq|zygosity in.graph out.tsv [--range A B]
     python -m lociweave.cli split in.graph out --size N
     python -m lociweave.cli merge out.graph a.graph[:OFFSET] b.graph[:OFFSET] ... [--no-combine] [--by-samples]
@@ -19,7 +19,7 @@ from .operators import edit, propagate, stats, transforms, windows
 from .sources import files
 
 
-def construct(spark: SparkSession, source: str, out: str, span=None, binary: bool = False, flip: bool = False, populations: str | None = None, rounds: int = 0) -> None:
+def construct(spark: SparkSession, source: str, out: str, span=None, binary: bool = False, flip: bool = False, populations: str | None = None, rounds: int = 0, ignore_missing: bool = False) -> None:
     rows = files.read_variants(spark, source, *(span or (None, None)))
     meta, people = files.metadata(spark, source), files.individual_ids(spark, source)
     n, ploidy = meta["individuals"] * meta["ploidy"], meta["ploidy"]
@@ -28,11 +28,13 @@ def construct(spark: SparkSession, source: str, out: str, span=None, binary: boo
     if populations:
         own, pops = transforms.assign_populations(people, spark.read.csv(populations, sep="\t", schema="individual_id string, population string"))
         samples = samples.drop("pop_id").join(own, "individual_idx").select("sample_idx", "individual_idx", "pop_id")
+    miss = rows.where(F.col("is_missing")).select("position", "sample_idx").distinct()
     seen = rows.where(F.col("alt") != MISSING).select("position", "ref", "alt", "sample_idx")
     seen = transforms.binary(seen).distinct() if binary else seen
-    seen = transforms.flip_to_major(seen, samples) if flip else seen
+    if flip:  # a sample without data carries no allele, whichever is the reference
+        seen = transforms.flip_to_major(seen, samples).join(miss, ["position", "sample_idx"], "left_anti").select("position", "ref", "alt", "sample_idx")
     keys = edit.ranked(seen.select("position", "ref", "alt").distinct(), "position", "ref", "alt", name="mut_id")
-    graph = edit.build(seen.join(keys, ["position", "ref", "alt"]).select("mut_id", "sample_idx").distinct(), keys, samples, ploidy, rounds)
+    graph = edit.build(seen.join(keys, ["position", "ref", "alt"]).select("mut_id", "sample_idx").distinct(), keys, samples, ploidy, rounds, None if ignore_missing else miss)
     graph = graph.having(individuals=people, phased=meta["phased"], specified_range=span, **({"populations": pops} if pops is not None else {}))
     files.save(graph, out)
 
@@ -74,7 +76,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     sub = p.add_subparsers(dest="command", required=True)
     c = sub.add_parser("construct")
     c.add_argument("source"), c.add_argument("out"), c.add_argument("--range", type=int, nargs=2), c.add_argument("--binary", action="store_true")
-    c.add_argument("--flip", action="store_true"), c.add_argument("--populations"), c.add_argument("--reduce", type=int, default=0)
+    c.add_argument("--flip", action="store_true"), c.add_argument("--populations"), c.add_argument("--reduce", type=int, default=0), c.add_argument("--ignore-missing", action="store_true")
     c = sub.add_parser("process")
     c.add_argument("what", choices=["freq", "zygosity"]), c.add_argument("source"), c.add_argument("out"), c.add_argument("--range", type=int, nargs=2)
     c = sub.add_parser("split")
@@ -89,7 +91,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     spark = spark or SparkSession.builder.getOrCreate()
     span = tuple(a.range) if getattr(a, "range", None) else None
     if a.command == "construct":
-        construct(spark, a.source, a.out, span, a.binary, a.flip, a.populations, a.reduce)
+        construct(spark, a.source, a.out, span, a.binary, a.flip, a.populations, a.reduce, a.ignore_missing)
     elif a.command == "process":
         process(spark, a.what, a.source, a.out, span)
     elif a.command == "split":

@@ -2,7 +2,7 @@
 
 A wave starts from the given values and crosses one edge a round; a node's result is the sum of all
 waves that reach it, that is over all paths. Rounds end when no value moves, after as many as the
-longest path has edges. Each round is one join and one partial-aggregated groupBy, cut to a table.
+longest path has edges; a cycle is an error. Each round is one join and one partial-aggregated groupBy, cut to a table.
 """
 
 from __future__ import annotations
@@ -40,6 +40,10 @@ def propagate(edges: DataFrame, start: DataFrame, direction: str, keys: tuple[st
         if is_empty(wave):
             break
         waves, n = waves.union(wave), n + 1
+        if n == 100 and rounds is None and stop is None:
+            limit = edges.select("parent").distinct().count()  # no path has more edges
+        if n >= 100 and rounds is None and stop is None and n > limit:
+            raise ValueError("the graph has a cycle")
     return waves.groupBy("node", *keys).agg(agg(F.col("value")).alias("value"))
 
 

@@ -95,8 +95,9 @@ def restrict(rows: DataFrame, first: float, last: float, kind: str = "bp") -> Da
 
 
 def read_map(spark: SparkSession, path: str, left: str, right: str, sep: str = "\t") -> DataFrame:
-    """Two named columns of a text table; a ragged row is an error, of equal keys the first row stays."""
-    return spark.read.csv(path, sep=sep, header=True, mode="FAILFAST").select(left, right).dropDuplicates([left])
+    """Two named columns of a text table; a ragged row is an error, of equal keys the first row of the file stays."""
+    rows = spark.read.csv(path, sep=sep, header=True, mode="FAILFAST").select(left, right).withColumn("_at", F.monotonically_increasing_id())
+    return rows.groupBy(left).agg(F.min_by(F.struct(right), "_at").alias("_first")).select(left, F.col("_first")[right].alias(right))
 
 
 def read_node_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -103,6 +103,7 @@ def test_orders(spark, eight):
     assert sorted(post) == sorted(set(pre)) and all(post.index(p) > post.index(c) for p, c in EIGHT_EDGES if p in post)
     assert traverse.bfs_order_capped(eight.edges, [13, 11], "down", 1000) == bfs
     assert len(traverse.bfs_order_capped(eight.edges, [13, 11], "down", 2)) < len(bfs)
+    assert {13, 11} <= set(traverse.bfs_order_capped(eight.edges, [13, 11], "down", 1))
 
 
 def test_lookups(spark, tree):
@@ -212,3 +213,32 @@ def test_windows(spark):
     assert got == [(0, 0, 4), (1, 2, 6), (2, 4, 8), (3, 6, 10), (4, 8, 12)]
     with pytest.raises(ValueError):
         windows.by_bp(spark, 0, 10, 3, 2)
+
+
+def test_coalescence_counts_travel(spark):
+    """Sums of the counts along paths are complete individuals, in built, reduced, subset and simplified graphs."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from lociweave.operators import edit, matmul, propagate
+
+    rng = random.Random(6)
+    blocks = [rng.sample(range(24), 9) for _ in range(4)]
+    rows = sorted({(m, s) for m in range(40) for b in rng.sample(blocks, 2) for s in (*b, rng.randrange(24))})
+    x = spark.createDataFrame(rows, "mut_id long, sample_idx long")
+    muts = spark.createDataFrame([(m, m, "A", "C") for m in range(41)], "mut_id long, position long, ref string, alt string")
+    samples = spark.range(24).select(F.col("id").alias("sample_idx"), F.expr("id div 2").alias("individual_idx"), F.lit(None).cast("int").alias("pop_id"))
+    flat = edit.build(x, muts, samples)
+    reduced, saved = edit.reduce_edges(flat, least=2, share=0.1)
+    assert saved > 0
+    kept = edit.subset_samples(reduced, [0, 1, 6, 7, 8, 9, 22, 23, 10, 11])
+    for g in (flat, reduced, kept, edit.simplify(kept)):
+        own = propagate.carriers(g).where("n_paths > 0").join(g.samples, "sample_idx").groupBy("mut_id", "individual_idx").agg(F.sum("n_paths").alias("k")).collect()
+        want = {}
+        for r in own:
+            want[r.mut_id] = want.get(r.mut_id, 0) + r.k**2
+        v = g.samples.select(F.lit(0).alias("row"), F.col("sample_idx").alias("idx"), F.lit(1).cast("long").alias("value"))
+        values = matmul.node_values(g, v, "up", init=matmul.init_xtx(g, v))
+        got = {r.mut_id: r.value for r in matmul.read_mutations(g, values).collect() if r.value}
+        assert got == want
