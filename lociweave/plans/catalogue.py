@@ -661,3 +661,33 @@ def i07_filtered_counts(spark, sf_dir):
     return c.where("alt_count >= 2").select("position", "ref", "alt", F.col("alt_count").alias("n"))
 
 
+# coalescence counts on nodes
+
+
+def _xtx_of(graph) -> DataFrame:
+    """mut_id, value: squared dosages summed over individuals, by a product of ones with starting values."""
+    ones = graph.samples.select(F.lit(0).alias("row"), F.col("sample_idx").alias("idx"), F.lit(1).cast("long").alias("value"))
+    values = matmul.node_values(graph, ones, "up", init=matmul.init_xtx(graph, ones))
+    return matmul.read_mutations(graph, values).select("mut_id", F.col("value").cast("long").alias("value"))
+
+
+@query("+ s AS (SELECT mut_id, sum(dosage * dosage) AS v FROM dosages GROUP BY 1) SELECT mut_id, coalesce(v, 0)::BIGINT AS value FROM mutations LEFT JOIN s USING (mut_id)")
+def g07_build_coals(spark, sf_dir):
+    return _xtx_of(edit.build(star.carriers(spark, sf_dir), star.mutations(spark, sf_dir), star.samples(spark, sf_dir)))
+
+
+@query(REACH + """, d AS (SELECT mut_id, sample_idx // 20 AS ind, sum(down.n) AS k FROM mutation_node m JOIN down ON seed = m.node_id JOIN samples ON node = sample_idx WHERE sample_idx // 2 % 10 = 0 GROUP BY 1, 2),
+x AS (SELECT mut_id, sum(k * k) AS v FROM d GROUP BY 1) SELECT mut_id, coalesce(v, 0)::BIGINT AS value FROM mutations LEFT JOIN x USING (mut_id)""", tree=True, recursive=True)
+def f21_subset_coals(spark, sf_dir):
+    g = star.hierarchy(spark, sf_dir)
+    keep = g.samples.where("individual_idx % 10 = 0").select(F.expr("sample_idx div 20 * 2 + sample_idx % 2").alias("new_idx"), "sample_idx")
+    return _xtx_of(edit.subset_samples(g, keep))
+
+
+@query("""+ n AS (SELECT position, count(*) AS n FROM miss_carriers GROUP BY 1)
+SELECT mut_id, coalesce(n, 0)::BIGINT AS n_missing FROM mutations LEFT JOIN n USING (position)""")
+def b03_missing_kept(spark, sf_dir):
+    """Missing data read back from a built graph."""
+    g = edit.build(star.carriers(spark, sf_dir), star.mutations(spark, sf_dir), star.samples(spark, sf_dir), miss=star.miss_carriers(spark, sf_dir))
+    n = prop.miss_carriers(g).groupBy("mut_id").agg(F.count("*").alias("n"))
+    return g.mutations.select("mut_id").join(n, "mut_id", "left").select("mut_id", F.coalesce("n", F.lit(0)).alias("n_missing"))
