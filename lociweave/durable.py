@@ -2,11 +2,12 @@
 
 Tables are Parquet in a folder that all executors share: that of ``spark.checkpoint.dir``, or else the one
 given to ``SparkContext.setCheckpointDir``. Each application writes below a folder of its own there, which is
-deleted when its JVM ends; tables that nothing reads any more can go earlier by :func:`discard`.
+deleted when the driver ends; tables that nothing reads any more can go earlier by :func:`discard`.
 """
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,6 +26,14 @@ def _path(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def _remove(files, at) -> None:
+    """At the end of the driver's Python, while its JVM may still answer."""
+    try:
+        files.delete(at, True)
+    except Exception:  # the JVM has ended, and has deleted the folder if it could
+        pass
+
+
 def folder(spark: SparkSession) -> str:
     """This application's folder. Without a shared one, only a local master may use a temporary folder."""
     app = spark.sparkContext.applicationId
@@ -38,6 +47,7 @@ def folder(spark: SparkSession) -> str:
         files, at = _path(spark, found)
         files.mkdirs(at)
         files.deleteOnExit(at)
+        atexit.register(_remove, files, at)
         _own[app] = found
     return _own[app]
 

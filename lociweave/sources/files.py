@@ -169,14 +169,17 @@ def write_carriers(carriers: DataFrame, mutations: DataFrame, path: str, bucket:
 
 
 def graph_json(graph: VariantGraph, start: list[int], show_mutations: bool = True) -> str:
-    """Nodes and edges reached downwards from ``start``, as elements for a graph viewer. For small parts of a graph."""
+    """Nodes and edges reached downwards from ``start``, as elements for a graph viewer. An error beyond
+    100,000 nodes or 1,000,000 edges."""
     from ..operators.propagate import DOWN, closure
 
     seeds = graph.spark.createDataFrame([(s,) for s in start], "node long")
     seen = closure(graph.edges, seeds, DOWN).select("node").distinct()
     muts = graph.mutation_node.groupBy(F.col("node_id").alias("node")).agg(F.array_sort(F.collect_list("mut_id")).alias("muts"))
-    nodes = seen.join(muts, "node", "left").orderBy("node").limit(100_000).collect()
-    edges = graph.edges.join(seen.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent", "child").orderBy("parent", "child").limit(1_000_000).collect()
+    nodes = seen.join(muts, "node", "left").orderBy("node").limit(100_001).collect()
+    edges = graph.edges.join(seen.withColumnRenamed("node", "parent"), "parent", "left_semi").select("parent", "child").orderBy("parent", "child").limit(1_000_001).collect()
+    if len(nodes) > 100_000 or len(edges) > 1_000_000:
+        raise ValueError("too large a part of the graph for a viewer")
     label = lambda r: f"{r.node}" + (f" {r.muts}" if show_mutations and r.muts else "")
     return json.dumps({"nodes": [{"data": {"id": str(r.node), "label": label(r)}} for r in nodes], "edges": [{"data": {"source": str(e.parent), "target": str(e.child)}} for e in edges]})
 
