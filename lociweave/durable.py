@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Without this, shuffle files stay until the driver's JVM happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _path(spark: SparkSession, path: str):
@@ -59,7 +61,7 @@ def cut(df: DataFrame, name: str = "step", batch_bytes: int | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
-    with small_batches(spark, batch_bytes):
+    with small_batches(spark, batch_bytes), brief_shuffles(spark):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lociweave_path = path
@@ -67,18 +69,28 @@ def cut(df: DataFrame, name: str = "step", batch_bytes: int | None = None) -> Da
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int | None) -> Iterator[None]:
-    """Arrow batches of at most so many bytes while a job runs."""
-    before = spark.conf.get(_BATCH, None)
-    if size:
-        spark.conf.set(_BATCH, str(size))
+def _setting(spark: SparkSession, key: str, value: str | None) -> Iterator[None]:
+    """A session setting while a job runs; None leaves it."""
+    before = spark.conf.get(key, None)
+    if value is not None:
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if size and before is None:
-            spark.conf.unset(_BATCH)
-        elif size:
-            spark.conf.set(_BATCH, before)
+        if value is not None and before is None:
+            spark.conf.unset(key)
+        elif value is not None:
+            spark.conf.set(key, before)
+
+
+def brief_shuffles(spark: SparkSession):
+    """Jobs that start meanwhile delete their shuffle files when they end."""
+    return _setting(spark, _CLEAN, "true")
+
+
+def small_batches(spark: SparkSession, size: int | None):
+    """Arrow batches of at most so many bytes while a job runs."""
+    return _setting(spark, _BATCH, str(size) if size else None)
 
 
 def discard(*tables: DataFrame | None) -> None:

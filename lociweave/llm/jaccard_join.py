@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import discard, doc_texts, materialize, partitions, tidy
+from .runtime import brief_shuffles, discard, doc_texts, materialize, partitions, tidy
 from .shingles import LOWER, mix, sequences, word_hashes
 
 WORDS = 5
@@ -144,7 +144,8 @@ def frequent(described: DataFrame) -> np.ndarray:
 
     kind = "slice int, counts binary"
     found = described.where("slice is not null").select("slice", "counts").repartition(SLICES, "slice").mapInArrow(tidy(add), kind)
-    bits = {r.slice: np.frombuffer(r.counts, dtype=np.uint32) > limit for r in found.collect()}  # CELLS numbers at most
+    with brief_shuffles(described.sparkSession):
+        bits = {r.slice: np.frombuffer(r.counts, dtype=np.uint32) > limit for r in found.collect()}  # CELLS numbers at most
     size = CELLS // SLICES
     return np.packbits(np.concatenate([bits.get(i, np.zeros(size, dtype=bool)) for i in range(SLICES)]))
 
@@ -266,7 +267,8 @@ def id_map(ids: DataFrame, parts: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int32()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], ["slice", "bits"])
 
     spread = ids.mapInArrow(deal, "slice int, at int").repartition(parts, "slice")
-    found = {r.slice: r.bits for r in spread.mapInArrow(tidy(add), "slice int, bits binary").collect()}  # 2^MAP_BITS bits at most
+    with brief_shuffles(ids.sparkSession):
+        found = {r.slice: r.bits for r in spread.mapInArrow(tidy(add), "slice int, bits binary").collect()}  # 2^MAP_BITS bits at most
     return np.frombuffer(b"".join(found.get(i, bytes(size // 8)) for i in range(MAP_SLICES)), dtype=np.uint8)
 
 

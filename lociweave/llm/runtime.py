@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..durable import cut, discard
+from ..durable import brief_shuffles, cut, discard
 
-__all__ = ["WORD", "discard", "doc_texts", "first_by_hash", "free_names", "ids_and_texts", "materialize", "partitions", "table", "tidy"]
+__all__ = ["WORD", "brief_shuffles", "discard", "doc_texts", "first_by_hash", "free_names", "ids_and_texts", "materialize", "partitions", "table", "tidy"]
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"

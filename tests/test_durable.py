@@ -1,9 +1,11 @@
 import os
 import subprocess
 import sys
+import time
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lociweave import durable
 
@@ -33,3 +35,19 @@ def test_a_cluster_needs_a_shared_folder():
     spark = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default))
     with pytest.raises(RuntimeError, match=r"spark\.checkpoint\.dir"):
         durable.folder(spark)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        every = disk.getAllFiles()
+        return {name for i in range(every.size()) if (name := every.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    df = spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count()
+    assert len(durable.cut(df).collect()) == 10
+    end = time.time() + 20
+    while (left := files() - before) and time.time() < end:
+        time.sleep(0.2)
+    assert not left
