@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -36,8 +37,10 @@ from pyspark.sql import functions as F
 from .runtime import doc_texts, ids_and_texts, materialize, tidy
 
 CAPACITY = 2048
-#: Words a worker remembers the ids of; further words are encoded each time they occur.
-REMEMBERED = 200_000
+#: Words a worker remembers the ids of, from their second time on; further words are encoded each time they occur.
+REMEMBERED = 300_000
+#: Marks, by hash, of words seen once.
+MARKS = 1 << 22
 #: Pieces in a chunk within which ranks are counted by one sort.
 CHUNK_ROWS = 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -66,24 +69,27 @@ class WordIds(dict):
         self.split = regex.compile(cuts[0]["pattern"]["Regex"] if self.by_words else "").findall
         #: Normal form C and lower case change these characters one by one.
         self.plain = regex.compile(r"[\x21-\x7e¡-¬®-įĲ-ſ]+").fullmatch
-        self.parts: dict[str, bytes] = {}
+        self.seen = bytearray(MARKS)
 
     def _part(self, part: str) -> bytes:
-        out = np.array([t.id for t in self.merge(part if part.isascii() else self.bytes(part)[0][0])], dtype="<u4").tobytes()
-        if len(self.parts) < REMEMBERED // 2:
-            self.parts[part] = out
-        return out
+        ids = [t.id for t in self.merge(part if part.isascii() else self.bytes(part)[0][0])]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: str) -> bytes:
         if not word:
             out = b""
-        elif self.plain(word):
-            known = self.parts
-            out = b"".join([known[x] if x in known else self._part(x) for x in self.split(word.lower())])
+        elif (letters := word.isascii() and word.isalpha()) or self.plain(word):
+            low = word.lower()
+            parts = [low] if letters else self.split(low)
+            out = self._part(word) if parts == [word] else b"".join([self[x] for x in parts])  # a part alone is a word of one part
         else:
             out = np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self) < REMEMBERED:
-            self[word] = out
+            mark = hash(word) % MARKS
+            if self.seen[mark]:
+                self[word] = out
+            else:
+                self.seen[mark] = 1
         return out
 
     def encode(self, text: str) -> bytes:

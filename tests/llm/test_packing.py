@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers as P
 from tokenizers import Tokenizer
 
+from lociweave.llm import packing
 from lociweave.llm.packing import fullest, pack_documents, plan, word_ids
 
 PATH = P.path("word_bpe_49k.json")
@@ -21,6 +22,14 @@ def test_word_ids_equal_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_seen_once_take_no_memory(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    own, whole = packing.WordIds(PATH), Tokenizer.from_file(PATH)
+    for text in [*(f"word{i}" for i in range(1000)), "Often said, often said", "often said"]:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert "often" in own and "said" in own and len(own) <= 50 and "word500" not in own
+
+
 def test_fullest_is_brute_force():
     rng = random.Random(1)
     for _ in range(300):
