@@ -49,3 +49,36 @@ def test_mapping_compares_candidates_only(spark, monkeypatch):
     out, stats = edit.map_mutations(g, new_muts, more)
     assert sorted(map(tuple, stats.collect())) == [(m, 3, 0, 3) for m in range(4, 8)]
     assert carried(out) == sorted([tuple(r) for r in x.collect()] + new)
+
+
+def test_mapping_takes_the_largest_nodes(spark):
+    """Against the greedy rule over all contained nodes, samples included."""
+    rng = random.Random(3)
+    blocks = [rng.sample(range(30), k) for k in (2, 3, 4, 6, 9, 9, 12)]
+    old = {(m, s) for m in range(20) for s in rng.choice(blocks)}
+    new = {(m, s) for m in range(20, 50) for b in rng.sample(blocks, rng.randrange(3)) for s in (*b, rng.randrange(30))}
+    x, muts, samples = matrix(spark, old, 30, 20)
+    more, new_muts, _ = matrix(spark, new, 30, 30, first=20)
+    g = edit.build(x, muts, samples)
+    below = {}
+    for r in traverse.samples_beneath(g).collect():
+        below.setdefault(r.node_id, set()).add(r.sample_idx)
+    want = []
+    for m in sorted({m for m, _ in new}):
+        left, taken = {s for k, s in new if k == m}, []
+        for node in sorted(below, key=lambda n: (-len(below[n]), n)):
+            if below[node] <= left:
+                left -= below[node]
+                taken.append(node)
+        want.append((m, sum(len(below[n]) for n in taken), sum(n >= 30 for n in taken), sum(n < 30 for n in taken)))
+    out, stats = edit.map_mutations(g, new_muts, more)
+    assert sorted(map(tuple, stats.collect())) == want and max(w[2] for w in want) > 1
+    assert carried(out) == sorted(old | new)
+
+
+def test_mapping_statistics_read_one_table(spark):
+    x, muts, samples = matrix(spark, [(m, s) for m in range(4) for s in (2 * m, 2 * m + 1, 10)], 12, 4)
+    more, new_muts, _ = matrix(spark, [(m, s) for m in range(4, 8) for s in (2 * (m - 4), 9)], 12, 4, first=4)
+    _, stats = edit.map_mutations(edit.build(x, muts, samples), new_muts, more)
+    assert "Join" not in stats._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, stats.collect())) == [(m, 2, 0, 2) for m in range(4, 8)]
