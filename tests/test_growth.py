@@ -82,3 +82,12 @@ def test_mapping_statistics_read_one_table(spark):
     _, stats = edit.map_mutations(edit.build(x, muts, samples), new_muts, more)
     assert "Join" not in stats._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, stats.collect())) == [(m, 2, 0, 2) for m in range(4, 8)]
+
+
+def test_building_walks_no_paths(spark, monkeypatch):
+    """A built graph is flat: its coalescence counts come from its edges, when they are read."""
+    rows = [(m, s) for m in range(6) for s in range(m, m + 5)]
+    monkeypatch.setattr(edit, "samples_beneath", refuse)
+    g = edit.build(*matrix(spark, rows, 12, 6))
+    assert carried(g) == rows
+    assert sorted(r.num_coals for r in g.nodes.where("not is_sample").collect()) == [2] * 6
