@@ -91,3 +91,16 @@ def test_building_walks_no_paths(spark, monkeypatch):
     g = edit.build(*matrix(spark, rows, 12, 6))
     assert carried(g) == rows
     assert sorted(r.num_coals for r in g.nodes.where("not is_sample").collect()) == [2] * 6
+
+
+def test_reducing_recounts_what_changed(spark, monkeypatch):
+    rng = random.Random(8)
+    blocks = [rng.sample(range(24), 9) for _ in range(4)]
+    rows = {(m, s) for m in range(30) for b in rng.sample(blocks, 2) for s in (*b, rng.randrange(24))}
+    g = edit.build(*matrix(spark, rows, 24, 30))
+    with monkeypatch.context() as m:
+        m.setattr(edit, "count_coalescences", refuse)
+        small, saved = edit.reduce_edges(g, least=2, share=0.1)
+    assert saved > 0 and carried(small) == sorted(rows)
+    counts = lambda graph: sorted((r.node_id, r.num_coals) for r in graph.nodes.where("not is_sample").collect())
+    assert counts(small) == counts(edit.count_coalescences(small))
