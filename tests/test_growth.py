@@ -104,3 +104,15 @@ def test_reducing_recounts_what_changed(spark, monkeypatch):
     assert saved > 0 and carried(small) == sorted(rows)
     counts = lambda graph: sorted((r.node_id, r.num_coals) for r in graph.nodes.where("not is_sample").collect())
     assert counts(small) == counts(edit.count_coalescences(small))
+
+
+def halves(spark):
+    rows = [(m, s) for m in range(20) for s in range(m, m + 9)]
+    parts = [matrix(spark, [r for r in rows if (r[0] < 10) == half], 30, 10, first=0 if half else 10) for half in (True, False)]
+    return rows, [edit.build(x, m.where("mut_id >= 10") if i else m, s) for i, (x, m, s) in enumerate(parts)]
+
+
+def test_merging_by_samples_stores_no_pairs(spark, stored):
+    rows, graphs = halves(spark)
+    one = edit.merge([graphs[0], graphs[1].having(mutations=graphs[1].mutations.withColumn("mut_id", F.col("mut_id") - 10), mutation_node=graphs[1].mutation_node.withColumn("mut_id", F.col("mut_id") - 10))], by_samples=True)
+    assert carried(one) == rows and max(stored) < len(rows) / 2
