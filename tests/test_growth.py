@@ -124,3 +124,11 @@ def test_missing_data_stores_no_pairs(spark, stored):
     x, muts, samples = matrix(spark, rows, 30, 10)
     g = edit.build(x, muts, samples, miss=spark.createDataFrame(gaps, "position long, sample_idx long"))
     assert sorted((10 * r.mut_id, r.sample_idx) for r in propagate.miss_carriers(g).collect()) == gaps and max(stored) < len(gaps) / 2
+
+
+def test_merging_by_children_stores_no_pairs(spark, stored, monkeypatch):
+    """Children that are samples need no level of their own."""
+    rows, graphs = halves(spark)
+    monkeypatch.setattr(edit, "heights", refuse)
+    one = edit.merge([graphs[0], graphs[1].having(mutations=graphs[1].mutations.withColumn("mut_id", F.col("mut_id") - 10), mutation_node=graphs[1].mutation_node.withColumn("mut_id", F.col("mut_id") - 10))])
+    assert carried(one) == rows and max(stored) < len(rows) / 2
