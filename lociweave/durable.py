@@ -106,6 +106,12 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """By columns into all shuffle partitions: adaptive execution, which goes by compressed bytes, would join them into
+    ones that are large in memory."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *columns)
+
+
 def ranked(df: DataFrame, *order, name: str = "ord", start: int = 0) -> DataFrame:
     """Add a global 0-based rank: range partitions are ranked alone and shifted by what precedes them.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import cut, dealt
+
 KEY = ("position", "ref", "alt")
 
 
@@ -76,44 +78,54 @@ def graph_statistics(graph) -> DataFrame:
 def matrix_difference(one: DataFrame, two: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     """keys, side, n: carriers that only one of two matrices (keys, sample_idx) has."""
     cols = [*keys, "sample_idx"]
-    a = one.select(*cols).exceptAll(two.select(*cols)).withColumn("side", F.lit("first"))
-    b = two.select(*cols).exceptAll(one.select(*cols)).withColumn("side", F.lit("second"))
-    return a.union(b).groupBy(*keys, "side").agg(F.count("*").alias("n"))
+    both = one.select(*cols, F.lit(1).alias("_n")).union(two.select(*cols, F.lit(-1).alias("_n")))
+    left = dealt(both, *cols).groupBy(*cols).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return left.withColumn("side", F.when(F.col("_n") > 0, "first").otherwise("second")).groupBy(*keys, "side").agg(F.sum(F.abs("_n")).alias("n"))
 
 
 def hwe_p(het: Column, hom_a: Column, hom_b: Column) -> Column:
     """Exact two-sided Hardy-Weinberg p-value, by the recurrence over heterozygote counts.
 
     Starting from probability 1 at the parity-matched count nearest the mode, terms to both sides follow
-    by ratios; the p-value is the share of the sum not above the observed count's term. A fold over
-    an array, in the JVM.
+    by ratios; the p-value is the share of the sum not above the observed count's term. Two folds, in the JVM, over states
+    of fixed size: the first finds the sum and the observed term, the second what is not above it.
     """
     rare = (2 * F.least(hom_a, hom_b) + het).cast("long")
     n = (het + hom_a + hom_b).cast("long")
     common = 2 * n - rare
     raw = F.floor(rare * common / (2 * n).cast("double")).cast("long")
     mid = F.when((raw % 2) != (rare % 2), F.when(raw + 1 <= rare, raw + 1).otherwise(raw - 1)).otherwise(raw)
-    state = "struct<h:bigint,p:double>"
+    state = "struct<h:bigint,p:double,sum:double,seen:double,top:double,total:double>"
+    fields = lambda *values: F.struct(*[v.alias(name) for v, name in zip(values, ("h", "p", "sum", "seen", "top", "total"), strict=True)]).cast(state)
+    one, zero = F.lit(1.0), F.lit(0.0)
 
     def down(acc, _):
-        last = F.element_at(acc, -1)
-        h, r = last["h"], (rare - last["h"]) / 2
-        c = n - h - r
-        return F.concat(acc, F.array(F.struct((h - 2).alias("h"), (last["p"] * h * (h - 1.0) / (4.0 * (r + 1) * (c + 1))).alias("p")).cast(state)))
+        h, r = acc["h"], (rare - acc["h"]) / 2
+        return step(acc, h - 2, acc["p"] * h * (h - 1.0) / (4.0 * (r + 1) * (n - h - r + 1)))
 
     def up(acc, _):
-        last = F.element_at(acc, -1)
-        h, r = last["h"], (rare - last["h"]) / 2
-        c = n - h - r
-        return F.concat(acc, F.array(F.struct((h + 2).alias("h"), (last["p"] * 4.0 * r * c / ((h + 2.0) * (h + 1.0))).alias("p")).cast(state)))
+        h, r = acc["h"], (rare - acc["h"]) / 2
+        return step(acc, h + 2, acc["p"] * 4.0 * r * (n - h - r) / ((h + 2.0) * (h + 1.0)))
+
+    def step(acc, h, p):
+        return fields(h, p, acc["sum"] + F.when(p <= acc["top"], p).otherwise(zero), F.when(h == het, p).otherwise(acc["seen"]), acc["top"], acc["total"])
+
+    def again(acc):
+        top = acc["seen"] * (1 + 1e-12)
+        return fields(mid, one, F.when(top >= 1.0, one).otherwise(zero), acc["seen"], top, acc["sum"])
 
-    start = F.array(F.struct(mid.alias("h"), F.lit(1.0).alias("p")).cast(state))
     steps = lambda k: F.when(k >= 1, F.sequence(F.lit(1), F.greatest(k, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-    terms = F.concat(F.aggregate(steps(F.floor(mid / 2)), start, down), F.slice(F.aggregate(steps(F.floor((rare - mid) / 2)), start, up), 2, 1_000_000))
-    total = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["p"])
-    seen = F.aggregate(F.filter(terms, lambda x: x["h"] == het), F.lit(0.0), lambda a, x: a + x["p"])
-    tail = F.aggregate(F.filter(terms, lambda x: x["p"] <= seen * (1 + 1e-12)), F.lit(0.0), lambda a, x: a + x["p"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), tail / total))
+    both = lambda start, end: F.aggregate(steps(F.floor((rare - mid) / 2)), F.aggregate(steps(F.floor(mid / 2)), start, down, lambda acc: fields(mid, one, acc["sum"], acc["seen"], acc["top"], acc["total"])), up, end)
+    first = both(fields(mid, one, one, F.when(mid == het, one).otherwise(zero), F.lit(float("inf")), zero), again)
+    return F.when(n == 0, one).otherwise(both(first, lambda acc: F.least(one, acc["sum"] / acc["total"])))
+
+
+def hwe(counts: DataFrame) -> DataFrame:
+    """mut_id, p of counts (mut_id, het, hom_a, hom_b): worked out once for mutations with equal counts."""
+    counts = cut(counts.select("mut_id", "het", "hom_a", "hom_b"), "counts")
+    p = counts.select("het", "hom_a", "hom_b").distinct()
+    p = cut(p.select("*", hwe_p(F.col("het"), F.col("hom_a"), F.col("hom_b")).alias("p")), "p")
+    return counts.join(p, ["het", "hom_a", "hom_b"]).select("mut_id", "p")
 
 
 def trailing_mean(histogram: DataFrame, share: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import cut, ranked
+from ..durable import cut, dealt, ranked
 from ..operators import assoc, edit, matmul, stats, transforms, traverse, windows
 from ..operators import propagate as prop
 from ..sources import star
@@ -121,7 +121,8 @@ def g09_graph_diff(spark, sf_dir):
 def g10_hwe(spark, sf_dir):
     n = star.samples(spark, sf_dir).select("individual_idx").distinct().count()
     z = star.individual_counts(spark, sf_dir).groupBy("mut_id").agg(F.count_if(F.col("dosage") == 1).alias("het"), F.count_if(F.col("dosage") == 2).alias("hom"))
-    return z.select("mut_id", F.round(stats.hwe_p(F.col("het"), F.col("hom"), F.lit(n) - F.col("het") - F.col("hom")), 6).alias("p"))
+    counts = z.select("mut_id", "het", F.col("hom").alias("hom_a"), (F.lit(n) - F.col("het") - F.col("hom")).alias("hom_b"))
+    return stats.hwe(counts).select("mut_id", F.round("p", 6).alias("p"))
 
 
 @query("+ c AS (" + COUNTS.format(only="", where="") + ") SELECT position, ref, alt, round(CASE WHEN total = miss_count THEN 0 ELSE alt_count / (total - miss_count) END, 6) AS freq FROM c")
@@ -346,7 +347,7 @@ def e12_sample_counts(spark, sf_dir):
 def e12_diamond_paths(spark, sf_dir):
     """A graph with diamonds (part > supplier > nation): values count paths."""
     line, sup = star.read(spark, sf_dir, "lineitem"), star.read(spark, sf_dir, "supplier")
-    one = line.select((F.col("l_partkey") + 10_000_000).alias("parent"), (F.col("l_suppkey") + 1_000_000).alias("child")).distinct()
+    one = cut(dealt(line.select((F.col("l_partkey") + 10_000_000).alias("parent"), (F.col("l_suppkey") + 1_000_000).alias("child")), "parent").distinct(), "edges")
     two = sup.select((F.col("s_suppkey") + 1_000_000).alias("parent"), F.col("s_nationkey").cast("long").alias("child"))
     seeds = one.select(F.col("parent").alias("node")).distinct()
     found = prop.closure(one.union(two), seeds, prop.DOWN).where("node < 1000000")

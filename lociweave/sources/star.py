@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..durable import dealt
 from ..model import VariantGraph
 
 
@@ -36,12 +37,12 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """mut_id, sample_idx: distinct; dealt by mutation, so that what groups by mutation needs no other shuffle."""
-    return _lines(spark, sf_dir).where("not returned").select("mut_id", "sample_idx").repartition("mut_id").distinct()
+    return dealt(_lines(spark, sf_dir).where("not returned").select("mut_id", "sample_idx"), "mut_id").distinct()
 
 
 def miss_carriers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """position, sample_idx: one aggregation by site and sample."""
-    at = _lines(spark, sf_dir).select(F.expr("1000 + 10 * (mut_id div 2)").alias("position"), "sample_idx", "returned").repartition("position").groupBy("position", "sample_idx").agg(F.bool_and("returned").alias("only"))
+    at = dealt(_lines(spark, sf_dir).select(F.expr("1000 + 10 * (mut_id div 2)").alias("position"), "sample_idx", "returned"), "position").groupBy("position", "sample_idx").agg(F.bool_and("returned").alias("only"))
     return at.where("only").select("position", "sample_idx")
 
 
