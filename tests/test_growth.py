@@ -151,3 +151,11 @@ def test_difference_groups_both_sides_once(spark):
             want[*key, side] += n
     assert Counter({tuple(r[:4]): r.n for r in got.collect()}) == want
     assert "replicaterows" not in plan_of(got).lower()
+
+
+def test_exact_test_works_once_for_equal_counts(spark):
+    """States of fixed size; a large middle has as many terms as any other."""
+    rows = [(i, 3000, 4000, 4000) if i % 2 else (i, i % 3, 5, 2) for i in range(20)]
+    out = {r.mut_id: r.p for r in stats.hwe(spark.createDataFrame(rows, "mut_id long, het int, hom_a int, hom_b int")).collect()}
+    assert len(out) == 20 and out[1] == pytest.approx(0, abs=1e-9) and len(set(out.values())) == 4
+    assert "concat" not in str(stats.hwe_p(F.col("h"), F.col("a"), F.col("b")))
