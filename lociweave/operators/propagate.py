@@ -13,7 +13,7 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import cut, is_empty
+from ..durable import cut, dealt, is_empty
 
 DOWN, UP = "down", "up"
 
@@ -26,18 +26,20 @@ def step(edges: DataFrame, direction: str) -> DataFrame:
     return edges.select(F.col(a).alias("node"), F.col(b).alias("next"))
 
 
-def propagate(edges: DataFrame, start: DataFrame, direction: str, keys: tuple[str, ...] = (), agg: Callable[[Column], Column] = F.sum, stop: Callable[[], Column] | None = None, rounds: int | None = None) -> DataFrame:
+def propagate(edges: DataFrame, start: DataFrame, direction: str, keys: tuple[str, ...] = (), agg: Callable[[Column], Column] = F.sum, stop: Callable[[], Column] | None = None, rounds: int | None = None, spread: bool = False) -> DataFrame:
     """node, *keys, value: over all paths from ``start`` (node, *keys, value), combined by ``agg``.
 
     ``stop`` is a condition on a wave's rows that travel no further (they are still counted).
-    ``agg`` must be associative and commutative: sum, bit_xor, max, min.
+    ``agg`` must be associative and commutative: sum, bit_xor, max, min. ``spread``: few rows of a wave meet, so they are
+    dealt by node and keys before they are grouped, in tasks of bounded size.
     """
     moves = step(edges, direction)
+    met = lambda df: (dealt(df, "node", *keys) if spread else df).groupBy("node", *keys).agg(agg(F.col("value")).alias("value"))
     wave = cut(start.groupBy("node", *keys).agg(agg(F.col("value")).alias("value")), "wave")
     waves, n = wave, 0
     while rounds is None or n < rounds:
         go = wave if stop is None else wave.where(~stop())
-        wave = cut(go.join(moves, "node").groupBy(F.col("next").alias("node"), *keys).agg(agg(F.col("value")).alias("value")), "wave")
+        wave = cut(met(go.join(moves, "node").select(F.col("next").alias("node"), *keys, "value")), "wave")
         if is_empty(wave):
             break
         waves, n = waves.union(wave), n + 1
@@ -45,13 +47,13 @@ def propagate(edges: DataFrame, start: DataFrame, direction: str, keys: tuple[st
             limit = edges.select("parent").distinct().count()  # no path has more edges
         if n >= 100 and rounds is None and stop is None and n > limit:
             raise ValueError("the graph has a cycle")
-    return waves.groupBy("node", *keys).agg(agg(F.col("value")).alias("value"))
+    return met(waves)
 
 
 def closure(edges: DataFrame, seeds: DataFrame, direction: str) -> DataFrame:
     """seed, node, n_paths: everything reached from each of ``seeds`` (node), itself included."""
     start = seeds.select("node", F.col("node").alias("seed"), F.lit(1).cast("long").alias("value"))
-    return propagate(edges, start, direction, ("seed",)).select("seed", "node", F.col("value").alias("n_paths"))
+    return propagate(edges, start, direction, ("seed",), spread=True).select("seed", "node", F.col("value").alias("n_paths"))
 
 
 def sample_range(graph) -> tuple[int, int] | None:
@@ -79,7 +81,7 @@ def beneath(graph, seeds: DataFrame) -> list[DataFrame]:
     Seeds without an inner node beneath them are read off their edges, dealt by node; only the others walk.
     """
     leaf, inner = legs(graph)
-    kids = leaf.repartition("node").groupBy("node", "sample_idx").agg(F.count("*").alias("k"))
+    kids = dealt(leaf, "node").groupBy("node", "sample_idx").agg(F.count("*").alias("k"))
     own = seeds.join(graph.samples.select(F.col("node_id").alias("node"), "sample_idx"), "node").select(F.col("node").alias("seed"), "sample_idx", F.lit(1).cast("long").alias("n_paths"))
     deep = cut(seeds.join(inner.select(F.col("parent").alias("node")), "node", "left_semi").distinct(), "deep")
     if is_empty(deep):
@@ -87,7 +89,7 @@ def beneath(graph, seeds: DataFrame) -> list[DataFrame]:
     flat = kids.join(seeds.join(deep, "node", "left_anti"), "node").select(F.col("node").alias("seed"), "sample_idx", F.col("k").alias("n_paths"))
     reach = cut(closure(inner, deep, DOWN), "reach")
     far = kids.join(reach, "node").select("seed", "sample_idx", (F.col("k") * F.col("n_paths")).alias("n"))
-    return [own, flat, far.repartition("seed").groupBy("seed", "sample_idx").agg(F.sum("n").alias("n_paths"))]
+    return [own, flat, dealt(far, "seed").groupBy("seed", "sample_idx").agg(F.sum("n").alias("n_paths"))]
 
 
 def carriers(graph, columns: tuple[str, ...] = ("mut_id",)) -> DataFrame:
@@ -131,8 +133,8 @@ def _product(at: DataFrame, below: DataFrame, columns: tuple[str, ...]) -> DataF
     blocks = lambda df, n, size, *cols: df.join(sizes, "seed").withColumn("block", F.pmod(F.xxhash64(*cols), F.ceil(F.col(n) / size))).groupBy("seed", "block").agg(F.collect_list(F.struct(*cols)).alias(n))
     pairs = blocks(at, "n_muts", MUTATIONS, *columns).join(blocks(below, "n_samples", SAMPLES, "sample_idx", "n_paths").withColumnRenamed("block", "other"), "seed")
     parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = pairs.select("n_muts", "n_samples").repartition(int(min(10_000, max(parts, total // ROWS))))
-    return dealt.select(F.explode("n_muts").alias("m"), "n_samples").select("m", F.explode("n_samples").alias("s")).select("m.*", "s.*")
+    tasks = pairs.select("n_muts", "n_samples").repartition(int(min(10_000, max(parts, total // ROWS))))
+    return tasks.select(F.explode("n_muts").alias("m"), "n_samples").select("m", F.explode("n_samples").alias("s")).select("m.*", "s.*")
 
 
 def heights(edges: DataFrame, nodes: DataFrame) -> DataFrame:

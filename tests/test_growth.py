@@ -159,3 +159,12 @@ def test_exact_test_works_once_for_equal_counts(spark):
     out = {r.mut_id: r.p for r in stats.hwe(spark.createDataFrame(rows, "mut_id long, het int, hom_a int, hom_b int")).collect()}
     assert len(out) == 20 and out[1] == pytest.approx(0, abs=1e-9) and len(set(out.values())) == 4
     assert "concat" not in str(stats.hwe_p(F.col("h"), F.col("a"), F.col("b")))
+
+
+def test_closure_deals_rows_before_grouping(spark):
+    """No task groups more than its share of the pairs: nothing is grouped before it is dealt."""
+    edges = spark.createDataFrame([(p, c) for p in range(100, 140) for c in range(10, 20)] + [(c, c % 3) for c in range(10, 20)], "parent long, child long")
+    found = propagate.closure(edges, spark.createDataFrame([(p,) for p in range(100, 140)], "node long"), "down")
+    first = plan_of(found).split("Exchange ")
+    assert len(first) == 2 and "REPARTITION_BY_NUM" in first[1] and "partial_sum" not in first[1]
+    assert sorted(r.n_paths for r in found.where("node < 3").collect()) == sorted([3, 3, 4] * 40)
