@@ -168,3 +168,15 @@ def test_closure_deals_rows_before_grouping(spark):
     first = plan_of(found).split("Exchange ")
     assert len(first) == 2 and "REPARTITION_BY_NUM" in first[1] and "partial_sum" not in first[1]
     assert sorted(r.n_paths for r in found.where("node < 3").collect()) == sorted([3, 3, 4] * 40)
+
+
+def test_many_mutations_of_a_node_are_dealt(spark, monkeypatch):
+    """One node's mutations times its samples are not one task's; diamonds count paths."""
+    for name, size in (("MUTATIONS", 16), ("SAMPLES", 8)):
+        monkeypatch.setattr(propagate, name, size, raising=False)
+    edges = [(40, s) for s in range(30)] + [(41, s) for s in range(20, 40)] + [(42, 40), (42, 41)]
+    g = from_rows(spark, 40, edges, [(m, "A", "C", 42 if m < 100 else m - 100) for m in range(103)])
+    out = propagate.carriers(g).withColumn("part", F.spark_partition_id()).collect()
+    want = [(m, s, 1 + (20 <= s < 30)) for m in range(100) for s in range(40)] + [(100 + s, s, 1) for s in range(3)]
+    assert sorted((r.mut_id, r.sample_idx, r.n_paths) for r in out) == want
+    assert len({r.part for r in out if r.mut_id < 100}) > 1
