@@ -180,3 +180,12 @@ def test_many_mutations_of_a_node_are_dealt(spark, monkeypatch):
     want = [(m, s, 1 + (20 <= s < 30)) for m in range(100) for s in range(40)] + [(100 + s, s, 1) for s in range(3)]
     assert sorted((r.mut_id, r.sample_idx, r.n_paths) for r in out) == want
     assert len({r.part for r in out if r.mut_id < 100}) > 1
+
+
+def test_copies_above_the_same_nodes_walk_once(spark, stored):
+    """New nodes above copies of a mutation share what is beneath them, and keys join before samples."""
+    edges = [(40, s) for s in range(20)] + [(41, s) for s in range(20, 40)]
+    g = from_rows(spark, 40, edges, [(m, "A", "C", 40 + k) for m in range(70) for k in (0, 1)])
+    one = edit.ensure_unique_mutations(g)
+    assert propagate.carriers(one).count() == 70 * 40 and max(stored) <= 140
+    assert propagate.carriers(one, edit.KEY).columns == ["position", "ref", "alt", "sample_idx", "n_paths"]
