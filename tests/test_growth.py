@@ -189,3 +189,12 @@ def test_copies_above_the_same_nodes_walk_once(spark, stored):
     one = edit.ensure_unique_mutations(g)
     assert propagate.carriers(one).count() == 70 * 40 and max(stored) <= 140
     assert propagate.carriers(one, edit.KEY).columns == ["position", "ref", "alt", "sample_idx", "n_paths"]
+
+
+def test_nodes_left_by_simplifying_are_dealt(spark, monkeypatch):
+    for name, size in (("MUTATIONS", 16), ("SAMPLES", 8)):
+        monkeypatch.setattr(propagate, name, size, raising=False)
+    g = edit.simplify(from_rows(spark, 40, [(40, s) for s in range(40)] + [(41, 40)], [(m, "A", "C", 41) for m in range(100)]))
+    out = propagate.carriers(g).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.mut_id, r.sample_idx) for r in out) == [(m, s) for m in range(100) for s in range(40)]
+    assert len({r.part for r in out}) > 1
