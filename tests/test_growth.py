@@ -198,3 +198,13 @@ def test_nodes_left_by_simplifying_are_dealt(spark, monkeypatch):
     out = propagate.carriers(g).withColumn("part", F.spark_partition_id()).collect()
     assert sorted((r.mut_id, r.sample_idx) for r in out) == [(m, s) for m in range(100) for s in range(40)]
     assert len({r.part for r in out}) > 1
+
+
+def test_subsets_with_moved_samples_are_dealt(spark, monkeypatch):
+    """Samples that are no longer their own nodes' ids."""
+    for name, size in (("MUTATIONS", 16), ("SAMPLES", 8)):
+        monkeypatch.setattr(propagate, name, size, raising=False)
+    g = edit.subset_samples(from_rows(spark, 40, [(40, s) for s in range(40)] + [(41, 40)], [(m, "A", "C", 41) for m in range(100)]), list(range(39, 19, -1)))
+    out = propagate.carriers(g).withColumn("part", F.spark_partition_id()).collect()
+    assert sorted((r.mut_id, r.sample_idx) for r in out) == [(m, s) for m in range(100) for s in range(20)]
+    assert len({r.part for r in out}) > 1
